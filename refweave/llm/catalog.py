@@ -1,9 +1,10 @@
 """Queries of the training-data operators, by name, and their DuckDB equivalents."""
 
-from refweave.llm import license_scan
+from refweave.llm import license_scan, mixing
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
