@@ -1,11 +1,13 @@
 """Queries of the training-data operators, by name, and their DuckDB equivalents."""
 
-from refweave.llm import license_scan, mixing
+from refweave.llm import license_scan, mixing, quality_rules
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
+    "op2_quality_rules": quality_rules.ORACLE,
 }
