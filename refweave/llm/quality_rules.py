@@ -13,9 +13,9 @@ wrongly reject at most ``risk`` of good documents in each stratum, with probabil
 used; with too few labels none is safe and the rule rejects nothing.
 
 Everything is DataFrame functions. Counting stays within the row: trigrams are
-hashed, sorted with their positions and compared with their neighbours in arrays, so texts are read once
-for counting and never shuffled. The holdout joins small rows of ratios; the
-table of cutoffs has one row for each stratum and is broadcast.
+hashed, sorted with their positions and compared with their neighbours in arrays, so texts are read once and
+never shuffled; the counts, a few numbers for each row, are checkpointed for both of their uses. The
+holdout joins these small rows; the table of cutoffs has at most a row for each stratum and is broadcast.
 
 Cases: null and empty texts have no words and counts of 0, and fail the base rule; labels
 of null quality or without a document are no evidence; a document with several labels counts once
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import SPACE_WORD, let, table, words
+from refweave.llm.common import SPACE_WORD, cut, let, table, words
 
 #: Lengths in words at which the strata begin.
 STRATA = (0, 200, 1000)
@@ -153,21 +153,16 @@ def safe_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -
     counts = [F.count_if(F.col(r) > c).alias(f"{r}_{k}") for r in RULES for k, c in enumerate(CUTOFFS)]
     found = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
     level = delta / (len(STRATA) * len(RULES) * len(CUTOFFS))
-
-    def lowest(r: str) -> Column:
-        # From the loosest cutoff down to the tightest: the first that is safe from below wins.
-        out = F.lit(None).cast("double")
-        for k in reversed(range(len(CUTOFFS))):
-            out = F.when(binomial_tail(F.col("n"), F.col(f"{r}_{k}"), risk / len(RULES)) <= level, F.lit(CUTOFFS[k])).otherwise(out)
-        return out.alias(f"{r}_cut")
-
-    return found.select("stratum", *[lowest(r) for r in RULES])
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{k}").alias("k")) for r in RULES for k, c in enumerate(CUTOFFS)])
+    tried = found.select("stratum", "n", F.explode(each).alias("x"))
+    safe = tried.filter(binomial_tail(F.col("n"), F.col("x.k"), risk / len(RULES)) <= level)
+    return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("x.rule") == r, F.col("x.cut"))).alias(f"{r}_cut") for r in RULES])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("labelled"))
-    measured = with_counts(docs).select("doc_id", "counts", stratum(F.col("counts.n_words")).alias("stratum"), *[v.alias(r) for r, v in rules().items()])
+    measured = cut(with_counts(docs).select("doc_id", "counts")).select("doc_id", "counts", stratum(F.col("counts.n_words")).alias("stratum"), *[v.alias(r) for r, v in rules().items()])
     holdout = measured.join(good, F.col("doc_id") == F.col("labelled")).select("stratum", *RULES)
     cutoffs = safe_cutoffs(holdout).withColumnRenamed("stratum", "of")  # a row for each stratum: a fixed few
     judged = measured.join(F.broadcast(cutoffs), F.col("stratum") == F.col("of"), "left")
