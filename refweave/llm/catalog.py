@@ -1,12 +1,13 @@
 """Queries of the training-data operators, by name, and their DuckDB equivalents."""
 
-from refweave.llm import decontamination, license_scan, mixing, pii, quality_rules
+from refweave.llm import decontamination, license_scan, mixing, pii, quality_rules, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_pii": pii.op7_pii,
+    "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
