@@ -145,7 +145,7 @@ def write_warc(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
             for page_id, url, html, ref in zip(ids, part["url"], part["html"], refs, strict=True):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out = store.open_output_stream(f"{path}.part")
+                    out = store.open_output_stream(f"{path}.part", compression=None)
                 payload = html.encode("utf-8", "surrogatepass")
                 record = encode_record(None if page_id is pd.NA else int(page_id), url, payload, None if ref is pd.NA else int(ref), _sha1(payload))
                 out.write(record)
@@ -170,7 +170,7 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
         for part in parts:
             for path in part["path"]:
                 batch, size = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for member in inflated_members(iter(lambda stream=stream: stream.read(STEP), b"")):
                         f, block = parse_record(member)
                         revisit = f["warc-type"] == "revisit"
