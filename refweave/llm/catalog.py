@@ -1,11 +1,12 @@
 """Queries of the training-data operators, by name, and their DuckDB equivalents."""
 
-from refweave.llm import decontamination, license_scan, mixing, pii, quality_rules, toxicity, warc
+from refweave.llm import decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_pii": pii.op7_pii,
     "op8_warc": warc.op8_warc,

@@ -11,8 +11,8 @@ with f the logit, the loss adds ``COUNTERFACTUAL * (f(x) - f(x'))**2`` to the cr
 entropy, so that a neutral mention of a group does not move the score. Sentences are
 labelled as their document is.
 
-Selection counts every labelled training row. The regression itself is fitted on the driver on at most ``FIT_ROWS``
-labelled rows, the ones with the smallest hashes (a documented bound; the rows are sent as
+Selection counts every labelled training row. The regression itself is fitted on the driver on
+``FIT_ROWS`` labelled rows, give or take a few hundredths, taken by hash (a documented bound; the rows are sent as
 feature numbers, not texts). Scoring is one scan without a shuffle; the model that
 travels with it has at most N_FEATURES weights.
 
@@ -32,7 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import bucket_of, table
+from refweave.llm.common import bucket_of, cut, table
+from refweave.llm.mixing import fraction_of
 
 N_FEATURES = 4096
 FIT_ROWS = 20_000
@@ -140,8 +141,6 @@ def select_features(train: DataFrame, n_features: int = N_FEATURES) -> tuple[lis
     # The empty name counts the rows; it always ranks first.
     rows = F.max(F.when(F.col("feature") == "", F.struct("pos", "neg")))
     ranked = total.filter((F.col("feature") == "") | (F.col("pos") + F.col("neg") >= 3))
-    from refweave.llm.common import cut
-
     ranked = cut(ranked)
     n = ranked.agg(rows.alias("n")).first()["n"]
     if n is None or not n["pos"] or not n["neg"]:
@@ -200,11 +199,12 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, fit_rows: int = FIT_ROWS
             swaps = [[[known(a), known(b)] for a, b in counterfactuals(t)[:20]] for t in part["text"]]
             yield pd.DataFrame({"y": part["y"], "x": part["text"].map(known), "swaps": swaps})
 
-    sample = train.orderBy(F.xxhash64("doc_id", "text")).limit(fit_rows) if fit_rows < pos + neg else train
-    got = sample.select("text", "y").mapInPandas(numbered, "y int, x array<int>, swaps array<array<array<int>>>").collect()
-    rows = [np.array(r["x"], dtype=np.int32) for r in got]
-    y = np.array([float(r["y"] > 0) for r in got])
-    pairs = [(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) for r in got for a, b in r["swaps"] if a != b]
+    sample = train.filter(fraction_of(F.xxhash64("doc_id", "text"), 0) < min(1.0, fit_rows / (pos + neg)))
+    got = sample.select("text", "y").mapInPandas(numbered, "y int, x array<int>, swaps array<array<array<int>>>").toArrow()
+    rows = [x.values.to_numpy() for x in got["x"]]
+    y = (got["y"].to_numpy() > 0).astype(float)
+    swaps = [x for x in got["swaps"].to_pylist() if x]
+    pairs = [(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) for x in swaps for a, b in x if a != b]
     w, w0 = _descend(rows, y, pairs, len(names), ridge, weight)
     return Model(number, w, w0)
 
