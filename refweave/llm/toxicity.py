@@ -3,7 +3,8 @@
 Features of a text are the presence of its words (lower-cased, without punctuation at
 the ends) and of the beginnings of words of four to six characters, written ``w:`` and ``p:``.
 Those that the score uses are chosen by counts over all labelled training rows: the
-``N_FEATURES`` with the largest two-proportion z value between toxic and other rows, and all identity terms.
+``N_FEATURES`` with the largest likelihood-ratio statistic G between toxic and other rows, if it is at least
+2 ln(features tested) + ``EVIDENCE`` (a chance finding among so many is unlikely), and all identity terms.
 
 The score is a logistic regression. For each training sentence that names an identity
 group, counterfactual sentences swap the term for its counterparts (``IDENTITY_GROUPS``);
@@ -29,13 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.llm.common import bucket_of, cut, table
 from refweave.llm.mixing import fraction_of
 
 N_FEATURES = 4096
+EVIDENCE = 6.0
 FIT_ROWS = 20_000
 RIDGE = 1e-3
 COUNTERFACTUAL = 1.0
@@ -145,10 +147,21 @@ def select_features(train: DataFrame, n_features: int = N_FEATURES) -> tuple[lis
     n = ranked.agg(rows.alias("n")).first()["n"]
     if n is None or not n["pos"] or not n["neg"]:
         return [], (n["pos"] if n else 0), (n["neg"] if n else 0)
-    share = (F.col("pos") + F.col("neg")) / F.lit(float(n["pos"] + n["neg"]))
-    spread = F.sqrt(share * (1 - share) * (1 / n["pos"] + 1 / n["neg"])) + 1e-9
-    z = F.abs(F.col("pos") / n["pos"] - F.col("neg") / n["neg"]) / spread
-    best = ranked.filter(F.col("feature") != "").select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(n_features).collect()
+    both = float(n["pos"] + n["neg"])
+
+    def part(seen: Column, of_feature: Column, of_class: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * both / (of_feature * of_class))).otherwise(F.lit(0.0))
+
+    having = F.col("pos") + F.col("neg")
+    g = 2 * (
+        part(F.col("pos"), having, float(n["pos"]))
+        + part(F.col("neg"), having, float(n["neg"]))
+        + part(n["pos"] - F.col("pos"), both - having, float(n["pos"]))
+        + part(n["neg"] - F.col("neg"), both - having, float(n["neg"]))
+    )
+    tested = ranked.filter(F.col("feature") != "").select("feature", g.alias("g"))
+    least = 2 * np.log(max(1, tested.count())) + EVIDENCE
+    best = tested.filter(F.col("g") >= float(least)).orderBy(F.desc("g"), "feature").limit(n_features).collect()
     identity = [f"w:{t}" for group in IDENTITY_GROUPS for t in group]
     return list(dict.fromkeys([*(r["feature"] for r in best), *identity])), n["pos"], n["neg"]
 
