@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and their DuckDB equivalents."""
 
-from refweave.llm import decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, toxicity, warc
+from refweave.llm import decontamination, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,

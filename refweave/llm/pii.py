@@ -186,15 +186,14 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    @F.pandas_udf("struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>")
+    def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
             rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+            for text in part:
                 spans = find_spans(text)
                 base = [s for s in spans if s[0] in BASE]
-                n = {k: sum(s[0] == k for s in base) for k in BASE}
-                rows.append((doc_id, *(n[k] for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            out = pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return docs.mapInPandas(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", digest("text").alias("found")).select("doc_id", "found.*")

@@ -43,14 +43,14 @@ FILE_BYTES = 64 << 20
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
+def encode_record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None, digest: str) -> bytes:
     """One record as a gzip member. The record's id carries the page_id; ``WARC-X-Payload-Length`` the length that a revisit leaves out."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
@@ -140,14 +140,12 @@ def write_warc(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
                 out, n, size = None, 0, 0
 
         for part in parts:
-            ids = part["page_id"].astype("Int64")
-            refs = part["refers_to"].astype("Int64")
-            for page_id, url, html, ref in zip(ids, part["url"], part["html"], refs, strict=True):
+            for page_id, url, html, ref in zip(part["page_id"], part["url"], part["html"], part["refers_to"], strict=True):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{path}.part", compression=None)
                 payload = html.encode("utf-8", "surrogatepass")
-                record = encode_record(None if page_id is pd.NA else int(page_id), url, payload, None if ref is pd.NA else int(ref), _sha1(payload))
+                record = encode_record(page_id, url, payload, ref, _sha1(payload))
                 out.write(record)
                 n, size = n + 1, size + len(record)
                 if size >= file_bytes:
@@ -155,15 +153,15 @@ def write_warc(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
         close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    return cut(planned.select("page_id", "url", "html", "refers_to").mapInPandas(write, MANIFEST))
+    # Ids travel as text: pandas would make a nullable long a double.
+    return cut(planned.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).mapInPandas(write, MANIFEST))
 
 
 def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """``RECORDS`` of the archives of a table of files; payload is null for revisits, and for all if ``payloads`` is off."""
 
-    def page(value: str) -> int | None:
-        value = value.removeprefix("<urn:page:").removesuffix(">")
-        return int(value) if value else None
+    def page(value: str) -> str | None:
+        return value.removeprefix("<urn:page:").removesuffix(">") or None
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _filesystem(folder)
@@ -182,11 +180,11 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
                 yield frame(batch)
 
     def frame(batch: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(batch, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+        return pd.DataFrame(batch, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"payload_bytes": "int64"})
 
     # A task for each few files: their number follows the data, and no row is larger than a path.
-    return files.repartition(F.col("path")).mapInPandas(rows, RECORDS)
+    read = files.repartition(F.col("path")).mapInPandas(rows, RECORDS)
+    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
