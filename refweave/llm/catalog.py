@@ -18,4 +18,5 @@ ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -264,12 +264,25 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with the least id of each component; rows without an id stay, and one of each repeated row."""
-    found = components(docs.select("doc_id", text), text)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return kept
+    """The documents with the least id of each component; of rows with the same id, one; rows without an id stay."""
+    found = cut(components(docs.select("doc_id", text), text))
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * both >= {PERCENT} * (x.n + y.n - both)),
+c(id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.label FROM c JOIN e ON c.id = e.a WHERE c.label < e.b)
+SELECT id AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(label) AS component_id FROM c LEFT JOIN n ON c.id = n.doc_id GROUP BY id"""
