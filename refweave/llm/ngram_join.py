@@ -10,13 +10,16 @@ sets are one node, named by a 64-bit hash of the set, so copies are never paired
 2. With T = ceil(0.8 n), sets that link share l tokens among their first n - T + l ones. l
    is chosen for each document between 1 and ``MOST`` for the least estimated cost: each prefix token
    costs a row, each candidate a verification, and the candidates of l matches are at most the
-   sum of frequencies divided by l. A pair needs the smaller l of its two documents.
+   sum of frequencies divided by l. A pair needs the smaller l of its two documents, and more as its own
+   sizes ask for more than 0.8 n.
 3. Prefix rows meet by token once. Tokens of one node only, nearly all, end there.
-4. Stars: each node of a token is compared with the token's first node. These pairs are as many as the
-   rows, and a group of near copies falls into one component without its pairs being listed.
+   The common tokens of a link in front of a match are themselves matches, so a match with many
+   unshared tokens before it, in either set, cannot belong to a link (length and positional filters).
+4. Stars: each node of a token is compared with that one which has the fewest prefix
+   tokens of its own, the least edited copy. These pairs are at most as many as the rows, and a group of near
+   copies falls into one component without its pairs being listed.
 5. Rest: only tokens whose nodes lie in different components still give pairs, of nodes from
-   different components, with sizes within 0.8 of each other and enough matches. They are
-   verified exactly too. A link that was never listed joins nodes that are already connected, so
+   different components that pass the filters, with enough matches. They are verified exactly too. A link that was never listed joins nodes that are already connected, so
    the components are those of all links.
 
 Verification sends each set once to every node that it is compared with; a node with
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refweave.llm.common import ascii_lower, cut, table, words
@@ -131,7 +134,7 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, background: float) -> tupl
 
 
 def _postings(docs: DataFrame, text: str, sketch: np.ndarray, total: int) -> DataFrame:
-    """(token, node, n, matches): the prefix of each set, once for each task that has it."""
+    """(token, node, n, m, pos): the prefix of each set, once for each task that has it; m is the matches l, pos the token's place in the set's order."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH counters of four bytes
     background = 1 + total / SKETCH + 3 * (total / SKETCH) ** 0.5
     shift = np.uint64(64 - (SKETCH.bit_length() - 1))
@@ -154,9 +157,9 @@ def _postings(docs: DataFrame, text: str, sketch: np.ndarray, total: int) -> Dat
                 found.append((own.view(np.int64), node, len(tokens), m))
             if found:
                 sizes = [len(x[0]) for x in found]
-                yield pd.DataFrame({"token": np.concatenate([x[0] for x in found]), **{c: np.repeat(np.array([x[k] for x in found], t), sizes) for k, c, t in ((1, "node", np.int64), (2, "n", np.int32), (3, "m", np.int32))}})
+                yield pd.DataFrame({"token": np.concatenate([x[0] for x in found]), **{c: np.repeat(np.array([x[k] for x in found], t), sizes) for k, c, t in ((1, "node", np.int64), (2, "n", np.int32), (3, "m", np.int32))}, "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
 
-    return _hashed(docs, text).select("w").mapInPandas(emit, "token long, node long, n int, m int")
+    return _hashed(docs, text).select("w").mapInPandas(emit, "token long, node long, n int, m int, pos int")
 
 
 def _member_filter(ids: DataFrame) -> np.ndarray:
@@ -226,34 +229,55 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("b", "a", "tokens").mapInPandas(compare, "a long, b long")
 
 
+def _may_link(x: str, y: str) -> Column:
+    """The length and positional filters for a common token: the common tokens before it are shared ones of both prefixes, and those from it on are no more than either set has left."""
+    before = F.least(F.col(f"{x}before"), F.col(f"{y}before"))
+    left = F.least(F.col(f"{x}n") - F.col(f"{x}pos"), F.col(f"{y}n") - F.col(f"{y}pos"))
+    return (100 + PERCENT) * (before + left) >= PERCENT * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     measured, sketch, total = _measure(docs, text)
     rows = _postings(docs, text, sketch, total).repartition("token")
-    # Both uses read the same shuffle; the second then needs none.
-    heads = rows.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter(F.col("head") != F.col("last")).select("token", "head")
-    shared = cut(rows.join(heads, "token").select("token", "node", "n", "m", "head").distinct())
-
-    first = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    candidates = first.join(shared.select("node").distinct(), "node").select("doc_id").filter(F.col("doc_id").isNotNull())
-    sets = cut(_sets(docs, text, candidates))
-    # A document's own rows of one id belong together too.
+    # Both uses read all columns of the same shuffle, which is so written once.
+    several = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("n"), F.max("m"), F.max("pos"))
+    several = several.filter(F.col("lo") != F.col("hi")).select("token")
+    shared = rows.join(several, "token").distinct()
+    # before: how many tokens in front of this one the set shares with any other prefix. own: how many
+    # tokens of its prefix no other has, few for the least edited of a group of copies.
+    by_node = Window.partitionBy("node")
+    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + F.col("m")
+    shared = shared.withColumn("before", (F.row_number().over(by_node.orderBy("pos")) - 1).cast("int"))
+    shared = cut(shared.withColumn("own", (length - F.count("*").over(by_node)).cast("int")))
+
+    ids = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    able = shared.filter(100 * (F.col("n") - F.col("pos") + F.col("before")) >= PERCENT * F.col("n")).select("node").distinct()
+    sets = cut(_sets(docs, text, ids.join(able, "node").select("doc_id").filter(F.col("doc_id").isNotNull())))
+    # Rows of one id belong together.
     known = measured.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    several = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter(F.col("b") != F.col("c"))
-    same = known.join(several.select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
+    repeated = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter(F.col("b") != F.col("c"))
+    same = known.join(repeated.select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
 
-    stars = shared.filter(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    heads = shared.groupBy("token").agg(F.min(F.struct("own", "node", "n", "pos", "before")).alias("h")).select("token", "h")
+    stars = shared.join(heads, "token").filter(F.col("node") != F.col("h.node"))
+    stars = stars.filter(_may_link("", "h.")).select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct()
     links = cut(_verified(stars, sets).union(same))
     label = component_labels(links, "a", "b")
 
-    placed = shared.join(label.withColumnRenamed("id", "node"), "node", "left").select("token", "node", "n", "m", F.coalesce("label", "node").alias("label"))
+    placed = shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
     open_rows = cut(placed.join(mixed, "token"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
-    matched = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("matches"), F.least(F.first("x.m"), F.first("y.m")).alias("m"))
-    rest = cut(matched.filter(F.col("matches") >= F.col("m")).select("a", "b"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x.", "y."))
+    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the others.
+    def beyond(side: str) -> Column:
+        return F.ceil(F.col(f"{side}.n") * PERCENT / 100) - F.col(f"{side}.m")
+
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9)
+    matched = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("matches"), F.first(need - F.greatest(beyond("x"), beyond("y"))).alias("least"))
+    rest = matched.filter(F.col("matches") >= F.col("least")).select("a", "b")
+    rest = cut(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = _verified(rest, sets)
     label = component_labels(links.union(more), "a", "b")
 
@@ -282,7 +306,7 @@ ORACLE = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * both >= {PERCENT} * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
 c(id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.label FROM c JOIN e ON c.id = e.a WHERE c.label < e.b)
 SELECT id AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(label) AS component_id FROM c LEFT JOIN n ON c.id = n.doc_id GROUP BY id"""
