@@ -62,7 +62,7 @@ def full_names(people: Column, literal: bool = False) -> Column:
     """"first last" of each (firstname, lastname); people without either are left out. ``literal`` keeps the blank beside a missing part."""
     joined = F.transform(people, lambda p: F.concat(blank_if_null(p["firstname"]), F.lit(" "), blank_if_null(p["lastname"])))
     kept = F.filter(joined, lambda s: F.trim(s) != "")
-    return kept if literal else F.transform(kept, F.trim)
+    return kept if literal else F.transform(kept, lambda s: F.trim(s))
 
 
 def short_name(first: Column, last: Column) -> Column:

@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from refweave.operators.unify import union_by_name
 
 
-def _text_schema(header: list[str]) -> str:
-    return ", ".join(f"`{c}` string" for c in header)
-
-
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
+def _first_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).limit(1).collect()
-    return first[0][0].lstrip("﻿").rstrip("\r").split(sep) if first else []
+    if not first:
+        raise ValueError(f"{path} has no header")
+    return first[0][0]
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
@@ -26,13 +24,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
 
 def read_literal_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated text whose quotes mean nothing: rows with more cells than the header are left out, shorter ones end in nulls."""
-    header = _header(spark, path, "\t")
-    if not header:
-        raise ValueError(f"{path} has no header")
-    schema = _text_schema([*header, "_line"])
-    rows = spark.read.option("sep", "\t").option("quote", "").option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_line").schema(schema).csv(path)
-    too_long = F.length("_line") - F.length(F.replace("_line", F.lit("\t"), F.lit(""))) >= len(header)
-    return rows.filter(F.col("_line").isNull() | ~too_long).drop("_line")
+    line = _first_line(spark, path)
+    header = line.lstrip("\ufeff").rstrip("\r").split("\t")
+    cells = F.split(F.rtrim(F.col("value"), F.lit("\r")), "\t")
+    rows = spark.read.text(path).filter((F.col("value") != line) & (F.col("value") != "")).select(cells.alias("c")).filter(F.size("c") <= len(header))
+    return rows.select(*[F.nullif(F.get("c", F.lit(k)), F.lit("")).alias(name) for k, name in enumerate(header)])
 
 
 def read_all(spark: SparkSession, paths: list[str], reader) -> DataFrame:
