@@ -242,14 +242,15 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = _postings(docs, text, sketch, total).repartition("token")
     # Both uses read all columns of the same shuffle, which is so written once.
     several = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("n"), F.max("m"), F.max("pos"))
-    several = several.filter(F.col("lo") != F.col("hi")).select("token")
+    several = several.filter((F.col("lo") != F.col("hi")) & (F.col("max(n)") + F.col("max(m)") + F.col("max(pos)") >= 0)).select("token")
     shared = rows.join(several, "token").distinct()
     # before: how many tokens in front of this one the set shares with any other prefix. own: how many
     # tokens of its prefix no other has, few for the least edited of a group of copies.
     by_node = Window.partitionBy("node")
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + F.col("m")
     shared = shared.withColumn("before", (F.row_number().over(by_node.orderBy("pos")) - 1).cast("int"))
-    shared = cut(shared.withColumn("own", (length - F.count("*").over(by_node)).cast("int")))
+    shared = shared.withColumn("held", F.count("*").over(by_node).cast("int"))
+    shared = cut(shared.withColumn("own", (length - F.col("held")).cast("int")))
 
     ids = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     able = shared.filter(100 * (F.col("n") - F.col("pos") + F.col("before")) >= PERCENT * F.col("n")).select("node").distinct()
@@ -269,17 +270,19 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
     open_rows = cut(placed.join(mixed, "token"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x.", "y."))
-    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the others.
-    def beyond(side: str) -> Column:
-        return F.ceil(F.col(f"{side}.n") * PERCENT / 100) - F.col(f"{side}.m")
-
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9)
-    matched = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("matches"), F.first(need - F.greatest(beyond("x"), beyond("y"))).alias("least"))
+    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the
+    # others. The matches before a token, and those from it on, are no more than either prefix has shared ones.
+    beyond = [F.ceil(F.col(f"{s}.n") * PERCENT / 100) - F.col(f"{s}.m") for s in "xy"]
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
+    at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x.", "y.") & (at_most >= need))
+    matched = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("matches"), F.first(need).alias("least"))
     rest = matched.filter(F.col("matches") >= F.col("least")).select("a", "b")
     rest = cut(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _verified(rest, sets)
-    label = component_labels(links.union(more), "a", "b")
+    if not rest.isEmpty():
+        more = cut(_verified(rest, sets))
+        if not more.isEmpty():
+            label = component_labels(links.union(more), "a", "b")
 
     noded = measured.join(label.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     least = noded.filter(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "of")
