@@ -55,6 +55,7 @@ MOST = 4
 VERIFY_COST = 20.0
 PARTNERS = 2000
 FILTER_BITS = 1 << 25
+MAP_LONGS = 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,6 +82,17 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bitmap(tokens: np.ndarray) -> list[int]:
+    """MAP_LONGS words, in which each bit is the parity of the tokens that hash to it.
+
+    A token in one of two sets only flips one bit, so the bits in which two maps differ are at most as many as the tokens
+    that the sets don't share (Sandes et al. 2020).
+    """
+    at = (_mixed(tokens * _P) >> np.uint64(32)).astype(np.int64) % (64 * MAP_LONGS)
+    odd = (np.bincount(at, minlength=64 * MAP_LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)).alias("w"))
 
@@ -186,7 +198,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents with the ids, and of a few others."""
+    """(node, tokens, bits) of the documents with the ids, and of a few others; bits is the set's bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))  # FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -197,10 +209,10 @@ def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sets = [shingle_set(w) for w in part["w"]]
-            yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
+            yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets], "bits": [bitmap(x) for x in sets]})
 
     some = docs.filter(F.col("doc_id").isNotNull()).filter(known("doc_id"))
-    return _hashed(some, text).select("w").mapInPandas(build, "node long, tokens binary")
+    return _hashed(some, text).select("w").mapInPandas(build, "node long, tokens binary, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,6 +248,25 @@ def _may_link(x: str, y: str) -> Column:
     return (100 + PERCENT) * (before + left) >= PERCENT * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
+def _near_bitmaps(x: str, y: str) -> Column:
+    """The bitmap filter: sets that link leave at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum unshared."""
+    differ = sum((F.bit_count(F.col(f"{x}bits")[k].bitwiseXOR(F.col(f"{y}bits")[k])) for k in range(MAP_LONGS)), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b, need), once a shared token: pairs of nodes with different labels that share a token and pass all filters, and the matches that they need."""
+    x, y = rows.alias("x"), rows.alias("y")
+    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the
+    # others. The matches before a token, and those from it on, are no more than either prefix has shared ones.
+    beyond = [F.ceil(F.col(f"{s}.n") * PERCENT / 100) - F.col(f"{s}.m") for s in "xy"]
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
+    at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, apart & _may_link("x.", "y.") & (at_most >= need) & _near_bitmaps("x.", "y."))
+    return pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), need.alias("need"))
+
+
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     measured, sketch, total = _measure(docs, text)
@@ -268,15 +299,9 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     placed = shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
-    open_rows = cut(placed.join(mixed, "token"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the
-    # others. The matches before a token, and those from it on, are no more than either prefix has shared ones.
-    beyond = [F.ceil(F.col(f"{s}.n") * PERCENT / 100) - F.col(f"{s}.m") for s in "xy"]
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
-    at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x.", "y.") & (at_most >= need))
-    matched = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("matches"), F.first(need).alias("least"))
+    maps = sets.groupBy("node").agg(F.first("bits").alias("bits"))
+    open_rows = cut(placed.join(mixed, "token").join(maps, "node"))
+    matched = _candidates(open_rows).groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("need").alias("least"))
     rest = matched.filter(F.col("matches") >= F.col("least")).select("a", "b")
     rest = cut(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
