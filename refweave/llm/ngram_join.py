@@ -15,10 +15,12 @@ sets are one node, named by a 64-bit hash of the set, so copies are never paired
 3. Prefix rows meet by token once. Tokens of one node only, nearly all, end there.
    The common tokens of a link in front of a match are themselves matches, so a match with many
    unshared tokens before it, in either set, cannot belong to a link (length and positional filters).
-4. Stars: each node of a token is compared with that one which has the fewest prefix
+4. Bitmaps: a set's bitmap holds, for each of 512 bits, the parity of its tokens that hash to it. Two bitmaps differ in at
+   most as many bits as the sets have unshared tokens, so a pair that differs in more than a link allows is left out, without loss.
+5. Stars: each node of a token is compared with that one which has the fewest prefix
    tokens of its own, the least edited copy. These pairs are at most as many as the rows, and a group of near
    copies falls into one component without its pairs being listed.
-5. Rest: only tokens whose nodes lie in different components still give pairs, of nodes from
+6. Rest: only tokens whose nodes lie in different components still give pairs, of nodes from
    different components that pass the filters, with enough matches. They are verified exactly too. A link that was never listed joins nodes that are already connected, so
    the components are those of all links.
 
@@ -56,6 +58,7 @@ VERIFY_COST = 20.0
 PARTNERS = 2000
 FILTER_BITS = 1 << 25
 MAP_LONGS = 8
+BITS = [f"b{k}" for k in range(MAP_LONGS)]
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,7 +101,7 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, n, node) of all documents, checkpointed; the sketch of token frequencies; the number of its tokens."""
+    """(doc_id, n, node, b0 ...: the bitmap) of all documents, checkpointed; the sketch of token frequencies; the number of its tokens."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SKETCH, np.int64)
@@ -110,11 +113,11 @@ def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
                 salt ^= len(tokens)
                 if len(tokens):
                     np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
-                rows.append((doc_id, len(tokens), node_of(tokens)))
-            yield pd.DataFrame(rows, columns=["id", "n", "node"]).assign(chunk=-1, salt=0, counts=None)
+                rows.append((doc_id, len(tokens), node_of(tokens), *bitmap(tokens)))
+            yield pd.DataFrame(rows, columns=["id", "n", "node", *BITS]).assign(chunk=-1, salt=0, counts=None)
         if counts.any():
             blobs = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
-            yield pd.DataFrame({"id": [None] * CHUNKS, "n": 0, "node": 0, "chunk": range(CHUNKS), "salt": salt % SALT, "counts": blobs})
+            yield pd.DataFrame({"id": [None] * CHUNKS, "n": 0, "node": 0, **dict.fromkeys(BITS, 0), "chunk": range(CHUNKS), "salt": salt % SALT, "counts": blobs})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["counts"])
@@ -122,12 +125,12 @@ def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
 
     # Ids travel as text: pandas would make a nullable long a double.
     hashed = _hashed(docs, text).select(F.col("doc_id").cast("string").alias("id"), "w")
-    both = cut(hashed.mapInPandas(scan, "id string, n int, node long, chunk int, salt int, counts binary"))
+    both = cut(hashed.mapInPandas(scan, f"id string, n int, node long, {', '.join(b + ' long' for b in BITS)}, chunk int, salt int, counts binary"))
     sums = both.filter("chunk >= 0").groupBy("chunk", "salt").applyInPandas(add, "chunk int, counts binary")
     sketch = np.zeros(SKETCH, np.int64)
     for r in sums.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # CHUNKS rows
         sketch[r["chunk"] * (SKETCH // CHUNKS) :][: SKETCH // CHUNKS] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return both.filter("chunk < 0").select(F.col("id").cast("long").alias("doc_id"), "n", "node"), np.minimum(sketch, 2**31 - 1).astype(np.int32), int(sketch.sum())
+    return both.filter("chunk < 0").select(F.col("id").cast("long").alias("doc_id"), "n", "node", *BITS), np.minimum(sketch, 2**31 - 1).astype(np.int32), int(sketch.sum())
 
 
 def prefix(tokens: np.ndarray, frequency: np.ndarray, background: float) -> tuple[np.ndarray, int]:
@@ -198,7 +201,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """(node, tokens, bits) of the documents with the ids, and of a few others; bits is the set's bitmap."""
+    """(node, tokens) of the documents with the ids, and of a few others."""
     held = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))  # FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -209,10 +212,10 @@ def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sets = [shingle_set(w) for w in part["w"]]
-            yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets], "bits": [bitmap(x) for x in sets]})
+            yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
 
     some = docs.filter(F.col("doc_id").isNotNull()).filter(known("doc_id"))
-    return _hashed(some, text).select("w").mapInPandas(build, "node long, tokens binary, bits array<long>")
+    return _hashed(some, text).select("w").mapInPandas(build, "node long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,10 +251,16 @@ def _may_link(x: str, y: str) -> Column:
     return (100 + PERCENT) * (before + left) >= PERCENT * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
-def _near_bitmaps(x: str, y: str) -> Column:
+def _sets_of(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The checkpointed sets of the nodes in pairs."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return cut(_sets(docs, text, nodes.join(named, "node").select("doc_id")))
+
+
+def _near_bitmaps(x: str, y: str, sizes: Column) -> Column:
     """The bitmap filter: sets that link leave at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum unshared."""
-    differ = sum((F.bit_count(F.col(f"{x}bits")[k].bitwiseXOR(F.col(f"{y}bits")[k])) for k in range(MAP_LONGS)), F.lit(0))
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"{x}n") + F.col(f"{y}n"))
+    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * sizes
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -263,7 +272,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
     at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-    pairs = x.join(y, apart & _may_link("x.", "y.") & (at_most >= need) & _near_bitmaps("x.", "y."))
+    pairs = x.join(y, apart & _may_link("x.", "y.") & (at_most >= need) & _near_bitmaps("x.", "y.", F.col("x.n") + F.col("y.n")))
     return pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), need.alias("need"))
 
 
@@ -283,9 +292,10 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = shared.withColumn("held", F.count("*").over(by_node).cast("int"))
     shared = cut(shared.withColumn("own", (length - F.col("held")).cast("int")))
 
-    ids = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # Nodes that can link at all: their least document and bitmap.
     able = shared.filter(100 * (F.col("n") - F.col("pos") + F.col("before")) >= PERCENT * F.col("n")).select("node").distinct()
-    sets = cut(_sets(docs, text, ids.join(able, "node").select("doc_id").filter(F.col("doc_id").isNotNull())))
+    nodes = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in BITS))
+    nodes = cut(nodes.filter(F.col("doc_id").isNotNull()).join(able, "node"))
     # Rows of one id belong together.
     known = measured.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter(F.col("b") != F.col("c"))
@@ -293,19 +303,21 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     heads = shared.groupBy("token").agg(F.min(F.struct("own", "node", "n", "pos", "before")).alias("h")).select("token", "h")
     stars = shared.join(heads, "token").filter(F.col("node") != F.col("h.node"))
-    stars = stars.filter(_may_link("", "h.")).select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct()
-    links = cut(_verified(stars, sets).union(same))
+    stars = stars.filter(_may_link("", "h.")).select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("n").alias("an"), F.col("h.n").alias("bn")).distinct()
+    one, two = nodes.alias("one"), nodes.alias("two")
+    stars = stars.join(one, F.col("a") == F.col("one.node")).join(two, F.col("b") == F.col("two.node"))
+    stars = cut(stars.filter(_near_bitmaps("one.", "two.", F.col("an") + F.col("bn"))).select("a", "b"))
+    links = cut(_verified(stars, _sets_of(docs, text, nodes, stars)).union(same))
     label = component_labels(links, "a", "b")
 
     placed = shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
-    maps = sets.groupBy("node").agg(F.first("bits").alias("bits"))
-    open_rows = cut(placed.join(mixed, "token").join(maps, "node"))
+    open_rows = cut(placed.join(mixed, "token").join(nodes.select("node", *BITS), "node"))
     matched = _candidates(open_rows).groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("need").alias("least"))
     rest = matched.filter(F.col("matches") >= F.col("least")).select("a", "b")
     rest = cut(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = cut(_verified(rest, sets))
+        more = cut(_verified(rest, _sets_of(docs, text, nodes, rest)))
         if not more.isEmpty():
             label = component_labels(links.union(more), "a", "b")
 
