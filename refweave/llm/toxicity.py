@@ -14,7 +14,8 @@ labelled as their document is.
 
 Selection counts every labelled training row. The regression itself is fitted on the driver on
 ``FIT_ROWS`` labelled rows, give or take a few hundredths, taken by hash (a documented bound; the rows are sent as
-feature numbers, not texts). Scoring is one scan without a shuffle; the model that
+feature numbers, not texts). Of a sentence and its counterfactual only the features in which they differ matter; each text sends its distinct
+differences with their counts, of which there are no more than pairs of terms, however long it is. Scoring is one scan without a shuffle; the model that
 travels with it has at most N_FEATURES weights.
 
 Cases: a null or empty text has no features and gets the score of the intercept; labels
@@ -25,6 +26,7 @@ labels (0 if none); several labels of a document count each; repeated rows and i
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,7 +168,7 @@ def select_features(train: DataFrame, n_features: int = N_FEATURES) -> tuple[lis
     return list(dict.fromkeys([*(r["feature"] for r in best), *identity])), n["pos"], n["neg"]
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, ridge: float, weight: float) -> tuple[np.ndarray, float]:
+def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: dict[tuple[tuple[int, ...], tuple[int, ...]], int], n: int, ridge: float, weight: float) -> tuple[np.ndarray, float]:
     """Logistic regression with the counterfactual penalty, by accelerated full-batch gradient steps."""
 
     def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +176,10 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray
         return (np.concatenate(sets) if len(sets) else np.zeros(0)).astype(np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
 
     cols, at = flat(rows)
-    a, at_a = flat([p[0] for p in pairs])
-    b, at_b = flat([p[1] for p in pairs])
+    a, at_a = flat([np.array(p[0], dtype=np.int32) for p in pairs])
+    b, at_b = flat([np.array(p[1], dtype=np.int32) for p in pairs])
+    often = np.array(list(pairs.values()), dtype=float)
+    often *= 2 * weight / max(1.0, often.sum())
     # Scaled so that a feature of many rows takes steps as a rare one does.
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(cols, minlength=n)) / max(1, len(rows)) + 1e-3)
     w, w0, v, v0 = np.zeros(n), np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)), np.zeros(n), 0.0
@@ -186,7 +190,7 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(rows)
         g, g0 = np.bincount(cols, err[at], minlength=n) + ridge * w / 10, err.sum()
         if pairs:
-            gap = (np.bincount(at_a, w[a], minlength=len(pairs)) - np.bincount(at_b, w[b], minlength=len(pairs))) * (2 * weight / len(pairs))
+            gap = (np.bincount(at_a, w[a], minlength=len(pairs)) - np.bincount(at_b, w[b], minlength=len(pairs))) * often
             g += np.bincount(a, gap[at_a], minlength=n) - np.bincount(b, gap[at_b], minlength=n)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         s1, s2 = 0.9 * s1 + 0.1 * g0, 0.999 * s2 + 0.001 * g0 * g0
@@ -204,20 +208,29 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, fit_rows: int = FIT_ROWS
         return Model({}, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     number = {x: k for k, x in enumerate(names)}
 
-    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def known(text: str | None) -> list[int]:
-            return sorted(number[x] for x in features(text) if x in number)
+    def differences(text: str | None) -> list[list[list[int]]]:
+        seen = Counter()
+        for a, b in counterfactuals(text):
+            x, y = set(known(a)), set(known(b))
+            seen[tuple(sorted(x - y)), tuple(sorted(y - x))] += 1
+        return [[list(x), list(y), [count]] for (x, y), count in seen.items()]
+
+    def known(text: str | None) -> list[int]:
+        return sorted(number[x] for x in features(text) if x in number)
 
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            swaps = [[[known(a), known(b)] for a, b in counterfactuals(t)[:20]] for t in part["text"]]
+            swaps = [differences(t) for t in part["text"]]
             yield pd.DataFrame({"y": part["y"], "x": part["text"].map(known), "swaps": swaps})
 
     sample = train.filter(fraction_of(F.xxhash64("doc_id", "text"), 0) < min(1.0, fit_rows / (pos + neg)))
     got = sample.select("text", "y").mapInPandas(numbered, "y int, x array<int>, swaps array<array<array<int>>>").toArrow()
     rows = [x.values.to_numpy() for x in got["x"]]
     y = (got["y"].to_numpy() > 0).astype(float)
-    swaps = [x for x in got["swaps"].to_pylist() if x]
-    pairs = [(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) for x in swaps for a, b in x if a != b]
+    pairs = Counter()
+    for x in got["swaps"].to_pylist():
+        for a, b, (count,) in x:
+            pairs[tuple(a), tuple(b)] += count
     w, w0 = _descend(rows, y, pairs, len(names), ridge, weight)
     return Model(number, w, w0)
 
