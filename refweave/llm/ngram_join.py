@@ -42,10 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refweave.llm.common import ascii_lower, cut, table, words
+from refweave.llm.common import cut, table
 from refweave.operators.components import component_labels
 
 SHINGLE = 5
@@ -68,9 +69,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(hashes: np.ndarray | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text's word hashes."""
-    w = np.zeros(0, np.uint64) if hashes is None else np.asarray(hashes).astype(np.int64).view(np.uint64)
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words in order; bytes are lower-cased and split at ASCII letters and white space only."""
+    found = (text or "").encode().lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    w = word_hashes(text)
     n = len(w)
     if not n:
         return w
@@ -96,10 +103,6 @@ def bitmap(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)).alias("w"))
-
-
 def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
     """(doc_id, n, node, b0 ...: the bitmap) of all documents, checkpointed; the sketch of token frequencies; the number of its tokens."""
 
@@ -108,8 +111,8 @@ def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
         shift, salt = np.uint64(64 - (SKETCH.bit_length() - 1)), 0
         for part in parts:
             rows = []
-            for doc_id, w in zip(part["id"], part["w"], strict=True):
-                tokens = shingle_set(w)
+            for doc_id, t in zip(part["id"], part["t"], strict=True):
+                tokens = shingle_set(t)
                 salt ^= len(tokens)
                 if len(tokens):
                     np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
@@ -124,8 +127,8 @@ def _measure(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
         return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     # Ids travel as text: pandas would make a nullable long a double.
-    hashed = _hashed(docs, text).select(F.col("doc_id").cast("string").alias("id"), "w")
-    both = cut(hashed.mapInPandas(scan, f"id string, n int, node long, {', '.join(b + ' long' for b in BITS)}, chunk int, salt int, counts binary"))
+    own = docs.select(F.col("doc_id").cast("string").alias("id"), F.col(text).alias("t"))
+    both = cut(own.mapInPandas(scan, f"id string, n int, node long, {', '.join(b + ' long' for b in BITS)}, chunk int, salt int, counts binary"))
     sums = both.filter("chunk >= 0").groupBy("chunk", "salt").applyInPandas(add, "chunk int, counts binary")
     sketch = np.zeros(SKETCH, np.int64)
     for r in sums.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # CHUNKS rows
@@ -158,8 +161,8 @@ def _postings(docs: DataFrame, text: str, sketch: np.ndarray, total: int) -> Dat
         frequencies, seen = held.value, set()
         for part in parts:
             found = []
-            for w in part["w"]:
-                tokens = shingle_set(w)
+            for t in part["t"]:
+                tokens = shingle_set(t)
                 if not len(tokens):
                     continue
                 node = node_of(tokens)
@@ -174,7 +177,7 @@ def _postings(docs: DataFrame, text: str, sketch: np.ndarray, total: int) -> Dat
                 sizes = [len(x[0]) for x in found]
                 yield pd.DataFrame({"token": np.concatenate([x[0] for x in found]), **{c: np.repeat(np.array([x[k] for x in found], t), sizes) for k, c, t in ((1, "node", np.int64), (2, "n", np.int32), (3, "m", np.int32))}, "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
 
-    return _hashed(docs, text).select("w").mapInPandas(emit, "token long, node long, n int, m int, pos int")
+    return docs.select(F.col(text).alias("t")).mapInPandas(emit, "token long, node long, n int, m int, pos int")
 
 
 def _member_filter(ids: DataFrame) -> np.ndarray:
@@ -204,18 +207,15 @@ def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     """(node, tokens) of the documents with the ids, and of a few others."""
     held = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))  # FILTER_BITS / 8 bytes
 
-    @F.pandas_udf("boolean")
-    def known(part: pd.Series) -> pd.Series:
-        h = _mixed(part.fillna(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
-        return pd.Series((held.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
-
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            sets = [shingle_set(w) for w in part["w"]]
+            h = _mixed(part["doc_id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+            known = (held.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            sets = [shingle_set(t) for t in part["t"][known]]
             yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
 
-    some = docs.filter(F.col("doc_id").isNotNull()).filter(known("doc_id"))
-    return _hashed(some, text).select("w").mapInPandas(build, "node long, tokens binary")
+    # One Python worker for each task: filter and sets in one pass.
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("t")).mapInPandas(build, "node long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
