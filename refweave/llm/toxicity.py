@@ -41,6 +41,7 @@ from refweave.llm.mixing import fraction_of
 N_FEATURES = 4096
 EVIDENCE = 6.0
 FIT_ROWS = 20_000
+BROADCAST_LABELS = 1_000_000
 RIDGE = 1e-3
 COUNTERFACTUAL = 1.0
 STEPS = 300
@@ -116,8 +117,10 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the documents with a label. Labels are the narrow side; which side moves is left to the join's own sizes."""
+    """(doc_id, text, y) of the documents with a label. Up to BROADCAST_LABELS labels, two numbers each, go to the texts; more are joined by a shuffle."""
     known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("y"))
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     return docs.join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "y")
 
 
