@@ -1,7 +1,7 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
 Level 1 holds the words of the training texts, by 64-bit hash, in sorted order; a word's
-number is its place. Level k holds the k-grams seen at least ``MIN_COUNT`` times, each as the monotone number
+number is its place. Level k holds all k-grams of the training texts (``MIN_COUNT`` is 1), each as the monotone number
 ``place of its first k-1 words in level k-1 * V + last word``: the upper part is the monotone pointer to the
 context, and a lookup is a successor search relative to the context's range. Levels are cut
 into shards by ranges of these numbers; a shard is a file of flat arrays, memory-mapped by
@@ -10,8 +10,8 @@ form, a byte for each quantised smoothed log probability, and a byte for each co
 quantised back-off weight.
 
 Smoothing is interpolated absolute discounting: p(w | c) = (n(cw) - D) / n(c) + b(c) p(w | shorter c)
-with b(c) the mass that the kept k-grams of c leave; words have
-p = (n + 0.5) / (N + 0.5 (V + 1)), which unknown ones share. A k-gram seen ``MIN_COUNT`` times
+with b(c) the mass that the k-grams of c leave; words have
+p = (n + 0.5) / (N + 0.5 (V + 1)), which unknown ones share. A k-gram that is seen
 has its parts seen as often, so every level finds its lower ones.
 
 Words are counted by built-in functions; all texts are then read once more to become word numbers, checkpointed,
@@ -44,7 +44,7 @@ from refweave.llm.common import ascii_lower, bucket_of, cut, shared_dir, table,
 from refweave.llm.elias_fano import Sequence, encode
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD = 4_000_000
 BATCH_TOKENS = 1_500_000
