@@ -81,34 +81,63 @@ def cpm_quality(edges: DataFrame, labels: DataFrame, resolution: float) -> DataF
     return sizes.join(inner, "label", "left").agg(F.sum(F.coalesce("e", F.lit(0)) - resolution * F.col("n") * (F.col("n") - 1)).alias("quality"))
 
 
-def communities(edges: DataFrame, resolutions: list[float], rounds: int = 20) -> DataFrame:
+#: Gains below this are taken for rounding errors. Moves that a community takes part in at once; the others wait for the next round.
+_LEAST_GAIN, _AT_ONCE = 1e-9, 64
+
+
+def _moves(links: DataFrame, now: DataFrame, g: float, salt: int) -> DataFrame | None:
+    """(moved, d): moves of the nodes (name, s: vertices in it, label) that together raise the quality, or None if no single move does."""
+    sizes = now.groupBy("label").agg(F.sum("s").alias("n"))
+    to = links.join(now.select(F.col("name").alias("dst"), F.col("label").alias("d")), "dst").groupBy(F.col("src").alias("name"), "d").agg(F.sum("w").alias("w"))
+    stay = to.select("name", F.col("d").alias("label"), F.col("w").alias("w_own"))
+    own = now.join(stay, ["name", "label"], "left").select("name", "label", "s", F.coalesce("w_own", F.lit(0)).alias("w_own"))
+    options = to.join(own, "name").filter(F.col("d") != F.col("label"))
+    options = options.join(sizes.select(F.col("label").alias("d"), F.col("n").alias("n_d")), "d").join(sizes.withColumnRenamed("n", "n_c"), "label")
+    gain = F.col("w") - F.col("w_own") - 2 * g * F.col("s") * (F.col("n_d") - (F.col("n_c") - F.col("s")))
+    options = cut(options.select("name", "s", "label", "d", gain.alias("gain")).filter(F.col("gain") > _LEAST_GAIN))
+    if options.isEmpty():
+        return None
+    # A community gives or takes in a round, never both, so moves meet only in a community that they share; each pair there costs at most 2 g s s'.
+    able = options.filter((F.xxhash64(F.lit(salt), "label") % 2 == 0) & (F.xxhash64(F.lit(salt), "d") % 2 != 0))
+    best = able.groupBy("name", "s", "label").agg(F.max_by("d", F.struct("gain", "d")).alias("d"), F.max("gain").alias("gain"))
+    for side in ("d", "label"):
+        first = Window.partitionBy(side).orderBy(F.desc("gain"), "name")
+        best = best.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= _AT_ONCE).drop("rank")
+        best = best.withColumn(f"before_{side}", F.sum("s").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"))
+    moves = cut(best.filter(F.col("gain") - 2 * g * F.col("s") * (F.col("before_d") + F.col("before_label")) > _LEAST_GAIN).select(F.col("name").alias("moved"), "d"))
+    return options.orderBy(F.desc("gain"), "name", "d").limit(1).select(F.col("name").alias("moved"), "d") if moves.isEmpty() else moves
+
+
+def _local_moving(links: DataFrame, now: DataFrame, g: float) -> tuple[DataFrame, int]:
+    """The nodes (name, s, label) after moves until none is left, and the number of rounds with moves."""
+    rounds = 0
+    while (moves := _moves(links, now, g, rounds)) is not None:
+        now = cut(now.join(moves, F.col("name") == F.col("moved"), "left").select("name", "s", F.coalesce("d", "label").alias("label")))
+        rounds += 1
+    return now, rounds
+
+
+def communities(edges: DataFrame, resolutions: list[float]) -> DataFrame:
     """(resolution, name, label): local moving for the constant Potts model, from singletons.
 
-    In each round every vertex finds the neighbouring community with the largest gain; of the
-    moves that touch a community only the best happens, so gains add and the quality
-    never falls. Vertices of different components never share a community.
+    Vertices move until no move of one gains; then the communities become the nodes of a smaller
+    graph and move likewise, until neither level has a move left. Every round raises the
+    quality, so this ends. Vertices of different components never share a community.
     """
     both = cut(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").union(edges.filter(F.col("src") != F.col("dst")).select(F.col("dst"), F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("w")))
-    vertices = degrees(edges).select("name")
+    vertices = cut(degrees(edges).select("name"))
     found = []
     for g in resolutions:
-        now = cut(vertices.withColumn("label", F.col("name")))
-        for _ in range(rounds):
-            sizes = now.groupBy("label").agg(F.count("*").alias("n"))
-            to = both.join(now.select(F.col("name").alias("dst"), F.col("label").alias("d")), "dst").groupBy(F.col("src").alias("name"), "d").agg(F.sum("w").alias("w"))
-            own = now.join(to, (now.name == to.name) & (F.col("label") == F.col("d")), "left").select(now.name, "label", F.coalesce("w", F.lit(0)).alias("w_own"))
-            options = to.join(own, "name").filter(F.col("d") != F.col("label"))
-            options = options.join(sizes.select(F.col("label").alias("d"), F.col("n").alias("n_d")), "d").join(sizes.withColumnRenamed("n", "n_c"), "label")
-            gain = F.col("w") - F.col("w_own") - 2 * g * (F.col("n_d") - (F.col("n_c") - 1))
-            options = options.select("name", "label", "d", gain.alias("gain")).filter(F.col("gain") > 1e-12)
-            best = cut(options.groupBy("name", "label").agg(F.max_by("d", F.struct("gain", "d")).alias("d"), F.max("gain").alias("gain")))
-            touched = best.select("name", "gain", F.explode(F.array("label", "d")).alias("c")).groupBy("c").agg(F.max_by("name", F.struct("gain", "name")).alias("winner"))
-            t1 = touched.select(F.col("c").alias("label"), F.col("winner").alias("w1"))
-            t2 = touched.select(F.col("c").alias("d"), F.col("winner").alias("w2"))
-            moves = cut(best.join(t1, "label").join(t2, "d").filter((F.col("name") == F.col("w1")) & (F.col("name") == F.col("w2"))).select(F.col("name").alias("moved"), "d"))
-            if moves.isEmpty():
+        now = cut(vertices.select("name", F.lit(1).cast("long").alias("s"), F.col("name").alias("label")))
+        while True:
+            now, _ = _local_moving(both, now, g)
+            of_src, of_dst = now.select(F.col("name").alias("src"), F.col("label").alias("a")), now.select(F.col("name").alias("dst"), F.col("label").alias("b"))
+            links = cut(both.join(of_src, "src").join(of_dst, "dst").filter(F.col("a") != F.col("b")).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+            nodes = cut(now.groupBy(F.col("label").alias("name")).agg(F.sum("s").alias("s")).withColumn("label", F.col("name")))
+            nodes, rounds = _local_moving(links, nodes, g)
+            if not rounds:
                 break
-            now = cut(now.join(moves, F.col("name") == F.col("moved"), "left").select("name", F.coalesce("d", "label").alias("label")))
+            now = cut(now.join(nodes.select(F.col("name").alias("label"), F.col("label").alias("of")), "label").select("name", "s", F.col("of").alias("label")))
         found.append(now.select(F.lit(g).alias("resolution"), "name", "label"))
     out = found[0]
     for more in found[1:]:

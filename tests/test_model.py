@@ -2,12 +2,14 @@
 
 import random
 import xml.etree.ElementTree as ET
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as X
+from refweave.functions.lineage import cut
 from refweave.operators import graph, unify
 from refweave.operators.components import component_labels
 from refweave.plans import normalize
@@ -128,6 +130,34 @@ def test_communities_are_within_components(spark):
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4], [10, 11, 12, 13, 14]]
 
 
+def test_large_cliques_come_out_whole(spark):
+    clique = [(a, b) for k in (0, 1000) for a in range(k, k + 60) for b in range(a + 1, k + 60)] + [(0, 1000), (1, 1001)]
+    edges = spark.createDataFrame(clique, "src long, dst long")
+    got = cut(graph.communities(edges, [0.05]))
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r.label, set()).add(r.name)
+    assert sorted(map(sorted, groups.values())) == [list(range(60)), list(range(1000, 1060))]
+    assert graph.cpm_quality(edges, got, 0.05).first()["quality"] == pytest.approx(2 * (1770 - 0.05 * 60 * 59))
+
+
+def test_communities_have_no_gaining_move_left(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(150)]
+    label = {r.name: r.label for r in graph.communities(spark.createDataFrame(pairs, "src long, dst long"), [0.2]).collect()}
+
+    def quality(of):
+        sizes = Counter(of.values())
+        return sum(a != b and of[a] == of[b] for a, b in pairs) - 0.2 * sum(n * (n - 1) for n in sizes.values())
+
+    for v in label:
+        for d in set(label.values()):
+            assert quality(label | {v: d}) <= quality(label) + 1e-6
+    for c in set(label.values()):
+        for d in set(label.values()):
+            assert quality({v: d if of == c else of for v, of in label.items()}) <= quality(label) + 1e-6
+
+
 def test_bibtex(spark):
     people = F.array(F.struct(F.lit("Jane").alias("firstname"), F.lit("Doe").alias("lastname")))
     text = one(spark, sinks.bibtex(F.lit("7"), F.lit("T"), people, F.lit("J"), F.lit(None).cast("date"), F.lit("A"), F.array(F.lit("k"), F.lit("l")), F.lit("10/A")))
