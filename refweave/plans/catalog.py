@@ -33,9 +33,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# A part cites another if an order has the first on line 1, the second on a later line, both with quantities of 45 or more.
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_partkey")
+# A part cites another if an order has the first on line 1, the second on a later line. The queries whose SQL has quantities of 45 or more keep them; those named _whole, communities_cpm and layout_xy read all lines.
+_SOME, _ALL = "l_quantity >= 45", "true"
+
+
+def _edges(spark: SparkSession, sf_dir: str, keep: str = _SOME) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").filter(keep).select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = lines.filter("l_linenumber = 1").alias("a"), lines.filter("l_linenumber > 1").alias("b")
     return a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
 
@@ -50,8 +53,8 @@ _G = f"""{_C}, best AS (SELECT label FROM c GROUP BY label ORDER BY count(*) DES
 
 
 @query(f"WITH {_E} SELECT * FROM e")
-def citation_edges(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").filter("l_quantity >= 45")
+def citation_edges(spark, sf_dir, keep=_SOME):
+    lines = _t(spark, sf_dir, "lineitem").filter(keep)
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").cast("string").alias("citing_doi"))
     cited = lines.filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("cited_dois"))
     references = first.join(cited, F.col("l_orderkey") == F.col("o"))
@@ -65,28 +68,28 @@ def vertex_ids(spark, sf_dir):
 
 
 @query(f"WITH {_E} SELECT name, count(*) AS degree FROM (SELECT src AS name FROM e UNION ALL SELECT dst FROM e) GROUP BY name")
-def vertex_degree(spark, sf_dir):
-    return graph.degrees(_edges(spark, sf_dir))
+def vertex_degree(spark, sf_dir, keep=_SOME):
+    return graph.degrees(_edges(spark, sf_dir, keep))
 
 
 @query(f"WITH {_E} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
-def isolated_vertices(spark, sf_dir):
-    return graph.isolated(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir))
+def isolated_vertices(spark, sf_dir, keep=_SOME):
+    return graph.isolated(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir, keep))
 
 
 @query(f"WITH {_C} SELECT v AS id, label FROM c")
-def components(spark, sf_dir):
-    return component_labels(_edges(spark, sf_dir))
+def components(spark, sf_dir, keep=_SOME):
+    return component_labels(_edges(spark, sf_dir, keep))
 
 
 @query(f"WITH {_G} SELECT v AS name, label FROM c WHERE label = (SELECT label FROM best)")
-def giant_component(spark, sf_dir):
-    return graph.giant_component(_edges(spark, sf_dir))
+def giant_component(spark, sf_dir, keep=_SOME):
+    return graph.giant_component(_edges(spark, sf_dir, keep))
 
 
 @query(f"WITH {_E} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e")
-def undirected_projection(spark, sf_dir):
-    return graph.undirected(_edges(spark, sf_dir))
+def undirected_projection(spark, sf_dir, keep=_SOME):
+    return graph.undirected(_edges(spark, sf_dir, keep))
 
 
 @query(
@@ -95,8 +98,8 @@ SELECT 'all' AS stage, (SELECT count(*) FROM part) AS vertices, (SELECT count(*)
 UNION ALL SELECT 'connected', (SELECT count(*) FROM c), (SELECT count(*) FROM e)
 UNION ALL SELECT 'giant', (SELECT count(*) FROM g), (SELECT count(*) FROM e WHERE src IN (SELECT v FROM g))"""
 )
-def graph_stage_stats(spark, sf_dir):
-    return graph.stage_stats(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir))
+def graph_stage_stats(spark, sf_dir, keep=_SOME):
+    return graph.stage_stats(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir, keep))
 
 
 @query(
@@ -104,8 +107,8 @@ def graph_stage_stats(spark, sf_dir):
 k AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) - 1 AS id FROM s)
 SELECT v AS name, id::INT AS community_id, n AS community_size FROM c JOIN k USING (label)"""
 )
-def community_table(spark, sf_dir):
-    labels = component_labels(_edges(spark, sf_dir)).withColumnRenamed("id", "name")
+def community_table(spark, sf_dir, keep=_SOME):
+    labels = component_labels(_edges(spark, sf_dir, keep)).withColumnRenamed("id", "name")
     return graph.community_table(labels)
 
 
@@ -114,20 +117,20 @@ def community_table(spark, sf_dir):
 i AS (SELECT a.label, count(*) AS n FROM e JOIN c a ON e.src = a.v JOIN c b ON e.dst = b.v AND a.label = b.label GROUP BY a.label)
 SELECT round(sum(coalesce(i.n, 0) - 0.05::DOUBLE * s.n * (s.n - 1)), 6) AS quality FROM s LEFT JOIN i USING (label)"""
 )
-def cpm_quality(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+def cpm_quality(spark, sf_dir, keep=_SOME):
+    edges = _edges(spark, sf_dir, keep)
     labels = component_labels(edges).withColumnRenamed("id", "name")
     return graph.cpm_quality(edges, labels, 0.05).select(F.round("quality", 6).alias("quality"))
 
 
 @query()
 def communities_cpm(spark, sf_dir):
-    return graph.communities(_edges(spark, sf_dir), [0.05])
+    return graph.communities(_edges(spark, sf_dir, _ALL), [0.05])
 
 
 @query()
 def layout_xy(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir, _ALL)
     giant = graph.giant_component(edges).select(F.col("name").alias("src"))
     return graph.layout(edges.join(giant, "src", "left_semi"))
 
@@ -195,12 +198,67 @@ def merge_precedence(spark, sf_dir):
 
 
 @query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem WHERE l_quantity >= 45 GROUP BY l_orderkey")
-def adjacency_lists(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
+def adjacency_lists(spark, sf_dir, keep=_SOME):
+    lines = _t(spark, sf_dir, "lineitem").filter(keep).select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
     listed = lines.groupBy("o").agg(unify.ordered_list(F.col("l_partkey").cast("string"), F.col("l_partkey")).alias("cited"))
     return listed.withColumn("first", F.get("cited", F.lit(0)))
 
 
+_W = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+  WHERE a.l_linenumber = 1 AND b.l_linenumber > 1)"""
+
+
+@query(f"WITH {_W} SELECT * FROM e")
+def citation_edges_whole(spark, sf_dir):
+    return citation_edges(spark, sf_dir, _ALL)
+
+
+@query(f"WITH {_W} SELECT name, count(*) AS degree FROM (SELECT src AS name FROM e UNION ALL SELECT dst FROM e) GROUP BY name")
+def vertex_degree_whole(spark, sf_dir):
+    return vertex_degree(spark, sf_dir, _ALL)
+
+
+@query(f"WITH {_W} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
+def isolated_vertices_whole(spark, sf_dir):
+    return isolated_vertices(spark, sf_dir, _ALL)
+
+
+@query(f"WITH {_W} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e")
+def undirected_projection_whole(spark, sf_dir):
+    return undirected_projection(spark, sf_dir, _ALL)
+
+
+@query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem GROUP BY l_orderkey")
+def adjacency_lists_whole(spark, sf_dir):
+    return adjacency_lists(spark, sf_dir, _ALL)
+
+
+# Over all lines the recursive SQL is too slow; tests compare these with union-find.
+@query()
+def components_whole(spark, sf_dir):
+    return components(spark, sf_dir, _ALL)
+
+
+@query()
+def giant_component_whole(spark, sf_dir):
+    return giant_component(spark, sf_dir, _ALL)
+
+
+@query()
+def graph_stage_stats_whole(spark, sf_dir):
+    return graph_stage_stats(spark, sf_dir, _ALL)
+
+
+@query()
+def community_table_whole(spark, sf_dir):
+    return community_table(spark, sf_dir, _ALL)
+
+
+@query()
+def cpm_quality_whole(spark, sf_dir):
+    return cpm_quality(spark, sf_dir, _ALL)
+
+
 @query("SELECT l_orderkey AS o, l_partkey AS part, l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY ALL")
 def explode_zip(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("x"))
