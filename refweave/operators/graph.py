@@ -145,15 +145,17 @@ def communities(edges: DataFrame, resolutions: list[float]) -> DataFrame:
     return out
 
 
-def layout(edges: DataFrame, rounds: int = 10, seed: int = 1, cell: float = 1.0) -> DataFrame:
+def layout(edges: DataFrame, rounds: int = 500, seed: int = 1, cell: float = 1.0) -> DataFrame:
     """(name, x, y): a force-directed layout with attraction along edges and repulsion from the centres of mass of grid cells around.
 
-    The start is a hash of the name and the seed, so the result is reproducible. Each round is two aggregations and equi-joins.
+    A cell is ``cell`` or a 32nd of the start's side, whichever is more; moves and forces scale with it, so the way that a
+    vertex can go grows with the layout. The start is a hash of the name and the seed, so the result is reproducible. Each round is two aggregations and equi-joins.
     """
     flat = undirected(edges.filter(F.col("src") != F.col("dst")))
     both = cut(flat.union(flat.select(F.col("dst"), F.col("src"))))
     names = degrees(edges).select("name", "degree")
     side = math.sqrt(max(1, names.count()))
+    cell = max(cell, side / 32)
 
     def start(k: int):
         return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("name")), F.lit(1_000_003)) / 1_000_003 - 0.5) * side
@@ -166,7 +168,7 @@ def layout(edges: DataFrame, rounds: int = 10, seed: int = 1, cell: float = 1.0)
         offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         near = placed.withColumn("o", F.explode(offsets)).select("name", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).join(cells, ["cx", "cy"])
         dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        push = near.groupBy("name").agg(F.sum(F.col("m") * dx / (dx * dx + dy * dy + 0.01)).alias("px"), F.sum(F.col("m") * dy / (dx * dx + dy * dy + 0.01)).alias("py"))
+        push = near.groupBy("name").agg(F.sum(F.col("m") * dx / (dx * dx + dy * dy + 0.01 * cell * cell)).alias("px"), F.sum(F.col("m") * dy / (dx * dx + dy * dy + 0.01 * cell * cell)).alias("py"))
         step = 0.5 * (1 - r / rounds)
         moved = now.join(pull, "name", "left").join(push, "name", "left")
 

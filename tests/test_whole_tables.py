@@ -1,9 +1,12 @@
 """Queries over whole tables: no row is left out by a quantity or an id."""
 
+import inspect
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+from refweave.operators import graph
 from refweave.plans import catalog
 
 
@@ -60,3 +63,11 @@ def test_components_of_all_lines_against_union_find(spark, tables):
 
 def test_communities_query_reads_all_lines(spark, tables):
     assert {r[1] for r in _rows(spark, tables, "communities_cpm")} == {v for e in tables[2] for v in e}
+
+
+def test_layout_moves_as_far_as_a_large_start_needs(spark):
+    assert inspect.signature(graph.layout).parameters["rounds"].default == 500
+    edges = spark.range(16_000).select((F.col("id") - F.col("id") % 8).alias("of"), F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence("of", F.col("of") + 7))).filter("src < dst").select("src", "dst")
+    at = {r["name"]: (r["x"], r["y"]) for r in graph.layout(edges, rounds=60).collect()}
+    apart = [sum((a - b) ** 2 for a, b in zip(at[r["src"]], at[r["dst"]], strict=True)) ** 0.5 for r in edges.collect()]
+    assert sum(apart) / len(apart) < 0.1 * 16_000**0.5
