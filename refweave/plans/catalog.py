@@ -197,6 +197,15 @@ def merge_precedence(spark, sf_dir):
     return unify.merge_precedence(winner, labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("v")), "doc_id", "v")
 
 
+@query(
+    """SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::BIGINT ELSE d.n_chars::BIGINT END AS v
+FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id"""
+)
+def merge_precedence_whole(spark, sf_dir):
+    winner = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
+    return unify.merge_precedence(winner, _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("v")), "doc_id", "v")
+
+
 @query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem WHERE l_quantity >= 45 GROUP BY l_orderkey")
 def adjacency_lists(spark, sf_dir, keep=_SOME):
     lines = _t(spark, sf_dir, "lineitem").filter(keep).select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()

@@ -65,6 +65,10 @@ def test_communities_query_reads_all_lines(spark, tables):
     assert {r[1] for r in _rows(spark, tables, "communities_cpm")} == {v for e in tables[2] for v in e}
 
 
+def test_merge_takes_all_ids(spark, tables):
+    assert dict(_rows(spark, tables, "merge_precedence_whole")) == {k: 100 + k for k in range(30, 50)} | {k: k % 2 for k in range(1, 30)}
+
+
 def test_layout_moves_as_far_as_a_large_start_needs(spark):
     assert inspect.signature(graph.layout).parameters["rounds"].default == 500
     edges = spark.range(16_000).select((F.col("id") - F.col("id") % 8).alias("of"), F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence("of", F.col("of") + 7))).filter("src < dst").select("src", "dst")
