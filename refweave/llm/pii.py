@@ -44,6 +44,7 @@ _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIALLED = re.compile(r"[ ().0-9-]+")
 _REST = re.compile(r"[^\s<>\"']+")
 _IDENTIFIER = re.compile(r"[ :#.]{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})")
+_LAST_DIGIT = re.compile(r".*[0-9][A-Za-z0-9]*")
 _NAME = re.compile(r"[A-Za-z0-9_]{2,30}")
 
 
@@ -140,7 +141,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         elif not (at and text[at - 1].isalnum()):
             value = _IDENTIFIER.match(text, last + 1)
             if value and sum(c in DIGITS for c in value[1]) >= 5:
-                found["account"].append(value.span(1))
+                found["account"].append((value.start(1), _LAST_DIGIT.match(text, *value.span(1)).end()))  # without words behind the last one with a digit
     return [(kind, *span) for kind in KINDS for span in sorted(set(found[kind]))]
 
 
@@ -149,14 +150,14 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]] | None = None) -> str | None:
-    """The text with ``[kind]`` in place of each span; of overlapping spans the first, then the longest, counts."""
+    """The text with ``[kind]`` in place of each span; overlapping spans are replaced together, under the kind of the first, then the longest."""
     if not text:
         return text
     out, at = [], 0
     for start, end, kind in sorted(((a, b, k) for k, a, b in (find_spans(text) if spans is None else spans)), key=lambda x: (x[0], -x[1])):
         if start >= at:
             out += [text[at:start], f"[{kind}]"]
-            at = end
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 

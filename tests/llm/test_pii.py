@@ -47,3 +47,9 @@ def test_empty_and_null():
     assert find_spans(None) == find_spans("") == []
     assert redact(None) is None
     assert redact("mail a.b@c.org now") == "mail [email] now"
+
+
+def test_overlapping_spans_are_redacted_whole():
+    assert redact("ssn 123-45-6789 mail bob@x.com") == "ssn [account] mail [email]"
+    assert redact("iban GB29 NWBK 6016 1331 9268 19 thanks") == "iban [account] thanks"
+    assert redact("0123456789", [("card", 0, 5), ("phone", 3, 8), ("ip", 1, 2)]) == "[card]89"
