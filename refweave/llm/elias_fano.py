@@ -2,8 +2,8 @@
 
 A sorted sequence of n numbers below a bound is split into l low bits each, packed, and
 the high parts in unary: number k sets bit (high part + k) of a bit vector. ``get`` selects
-the k-th one; ``find`` selects the zeros around a value's high part, which bound its
-bucket, and searches the bucket's low bits by halving. A count of ones before each word
+the k-th one; ``find`` selects the zero in front of a value's high part, where its
+bucket begins, and searches the bucket's low bits by halving. A count of ones before each word
 of 64 bits supports both; all parts are read where they are used only.
 """
 
@@ -12,9 +12,20 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 #: Place of the r-th one of a byte: 8 for fewer ones.
-_SELECT = np.array([[([i for i in range(8) if x >> i & 1] + [8] * 8)[r] for r in range(8)] for x in range(256)], dtype=np.uint8)
+_SELECT = np.array([[([i for i in range(8) if x >> i & 1] + [8] * 8)[r] for r in range(8)] for x in range(256)], dtype=np.int64).ravel()
+_FIVES, _THREES, _NIBBLES, _ONES, _TOPS = (_U(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+
+
+def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th (from 0) one of each 64-bit word, which has as many (Vigna 2008)."""
+    sums = word - ((word >> _U(1)) & _FIVES)
+    sums = (sums & _THREES) + ((sums >> _U(2)) & _THREES)
+    sums = ((sums + (sums >> _U(4))) & _NIBBLES) * _ONES  # each byte: the ones up to its end
+    octet = np.bitwise_count(((r * _ONES | _TOPS) - sums) & _TOPS).astype(_U) << _U(3)
+    octet = np.minimum(octet, _U(56))
+    inside = r - (((sums << _U(8)) >> octet) & _U(0xFF))
+    return octet.astype(np.int64) + _SELECT[(((word >> octet) & _U(0xFF)) << _U(3) | np.minimum(inside, _U(7))).astype(np.int64)]
 
 
 def _width(n: int, bound: int) -> int:
@@ -48,6 +59,7 @@ class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.bits, self.before = arrays["low"], arrays["bits"], arrays["before"]
         self.n, self.width, self.bound = (int(x) for x in arrays["head"])
+        self.zeros: np.ndarray | None = None
 
     def __len__(self) -> int:
         return self.n
@@ -65,23 +77,21 @@ class Sequence:
 
     def _select(self, r: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the r-th (from 0) one, or zero, of the bits."""
-        before = self.before
-        lo, hi = np.zeros(len(r), np.int64), np.full(len(r), len(before) - 1, np.int64)
         if zeros:
-            while (open_ := hi - lo > 1).any():
-                mid = np.where(open_, (lo + hi) >> 1, lo)
-                left = 64 * mid - before[mid] <= r
-                lo, hi = np.where(open_ & left, mid, lo), np.where(open_ & ~left, mid, hi)
-            rest, word = r - (64 * lo - before[lo]), ~self.bits[lo]
-        else:
-            lo = np.searchsorted(before, r, side="right") - 1
-            rest, word = r - before[lo], self.bits[lo]
-        octets = word.astype("<u8").view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POPCOUNT[octets], axis=1, dtype=np.int64)
-        which = np.minimum((upto <= rest[:, None]).sum(axis=1), 7)
-        row = np.arange(len(r))
-        inside = rest - np.where(which > 0, upto[row, which - 1], 0)
-        return 64 * lo + 8 * which + _SELECT[octets[row, which], np.minimum(inside, 7)]
+            if self.zeros is None:  # an eighth of the bits, made once
+                self.zeros = 64 * np.arange(len(self.before), dtype=np.int64) - self.before
+            at = np.searchsorted(self.zeros, r, side="right") - 1
+            return 64 * at + _select_in_word(~self.bits[at], (r - self.zeros[at]).astype(_U))
+        at = np.searchsorted(self.before, r, side="right") - 1
+        return 64 * at + _select_in_word(self.bits[at], (r - self.before[at]).astype(_U))
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand from each place on, up to 64."""
+        word, off = at >> 6, (at & 63).astype(_U)
+        window = self.bits[word] >> off
+        rest = np.where(off > 0, self.bits[np.minimum(word + 1, len(self.bits) - 1)] << ((_U(64) - off) & _U(63)), _U(0))
+        zero = ~(window | rest)
+        return np.bitwise_count((zero & (~zero + _U(1))) - _U(1)).astype(np.int64)
 
     def get(self, k: np.ndarray) -> np.ndarray:
         """The numbers at places k."""
@@ -100,8 +110,12 @@ class Sequence:
         v = values[fits].astype(_U)
         high = (v >> _U(self.width)).astype(np.int64)
         low = v & _U((1 << self.width) - 1)
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) + 1 - high, 0)
-        end = self._select(high, True) - high
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) + 1, 0)
+        run = self._run(start)
+        if len(long := np.flatnonzero(run > 63)):  # a bucket that goes on beyond the window
+            run[long] = self._select(high[long], True) - start[long]
+        lo = start - high
+        end = lo + run
         hi = end.copy()
         while (open_ := lo < hi).any():
             act = np.flatnonzero(open_)
