@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refweave.operators.unify import union_by_name
 
@@ -16,19 +19,37 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return first[0][0]
 
 
+def _without_long_rows(reader: DataFrameReader, path: str | list[str], schema: T.StructType, cells: Callable[[Column], Column]) -> DataFrame:
+    """The rows by position, those with more cells than the schema left out; shorter ones end in nulls. ``cells`` counts the cells of a raw row."""
+    raw = "_raw"
+    while raw in schema.names:
+        raw = "_" + raw
+    rows = reader.option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", raw).schema(T.StructType([*schema, T.StructField(raw, T.StringType())])).csv(path)
+    # A row of another length, or with a value of another type, has its text in this column. Spark reads it with another column only, so that nothing of one is added.
+    text = F.concat_ws("", F.col(raw), F.substring(F.col(f"`{schema.names[0]}`").cast("string"), 1, 0))
+    return rows.filter(F.col(raw).isNull() | (cells(text) <= len(schema))).drop(raw)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
-    """Comma-separated text with a header, doubled quotes and line breaks in cells; all columns strings unless a schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """Comma-separated text with a header, doubled quotes and line breaks in cells; all columns strings unless a schema is given.
+
+    Rows with more cells than the header are left out, shorter ones end in nulls.
+    """
+
+    def reader() -> DataFrameReader:
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+    names = reader().csv(path).columns
+    shape = T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # Quoted cells begin at a comma or the row's start; without them every comma ends a cell.
+    return _without_long_rows(reader(), path, shape, lambda raw: F.size(F.split(F.regexp_replace(raw, r'(?s)(^|,)"(?:[^"]|"")*+"', "$1"), ",")))
 
 
 def read_literal_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated text whose quotes mean nothing: rows with more cells than the header are left out, shorter ones end in nulls."""
-    line = _first_line(spark, path)
-    header = line.lstrip("\ufeff").rstrip("\r").split("\t")
-    cells = F.split(F.rtrim(F.col("value"), F.lit("\r")), "\t")
-    rows = spark.read.text(path).filter((F.col("value") != line) & (F.col("value") != "")).select(cells.alias("c")).filter(F.size("c") <= len(header))
-    return rows.select(*[F.nullif(F.get("c", F.lit(k)), F.lit("")).alias(name) for k, name in enumerate(header)])
+    header = _first_line(spark, path).lstrip("\ufeff").rstrip("\r").split("\t")
+    shape = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    return _without_long_rows(spark.read.option("header", True).option("sep", "\t").option("quote", ""), path, shape, lambda raw: F.size(F.split(raw, "\t")))
 
 
 def read_all(spark: SparkSession, paths: list[str], reader) -> DataFrame:
@@ -58,6 +79,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders in ``path``; none if it is not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in fs.listStatus(hadoop) if x.isDirectory()] if fs.exists(hadoop) else []
+
+
 def file_metadata(spark: SparkSession, path: str) -> dict:
     """Path, bytes and time of change of a file or folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,6 +36,16 @@ def test_readers(spark, tmp_path):
         readers.read_parquet(spark, "x.csv")
 
 
+def test_rows_with_more_cells_than_the_header_are_left_out(spark, tmp_path):
+    (tmp_path / "long.csv").write_text('a,b\n1,2\n3,4,5\n6\n"x, ""y""",\n"p","q\nr","s"\n"u\n,v",w\n7,8,\n')
+    rows = readers.read_csv(spark, str(tmp_path / "long.csv"))
+    assert [tuple(r) for r in rows.collect()] == [("1", "2"), ("6", None), ('x, "y"', None), ("u\n,v", "w")]
+    assert [r.b for r in rows.select("b").collect()] == ["2", None, None, "w"]  # with the other columns pruned too
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "long.csv"), "a string, b int").limit(2).collect()] == [("1", 2), ("6", None)]
+    (tmp_path / "same.txt").write_text("A\tB\nA\tB\n1\t\"2\n3\t4\t\n")
+    assert [tuple(r) for r in readers.read_literal_tsv(spark, str(tmp_path / "same.txt")).collect()] == [("A", "B"), ("1", '"2')]
+
+
 def test_cleaners(spark):
     names = ["Title", "Author full names", "Author(s) ID", "Abstract", "Author Keywords", "Source title", "Source", "DOI", "PubMed ID", "Year"]
     rows = [("t", "Doe, Jane (123); Roe, K. (456)", "1; 2", "nan", None, "j", "Scopus", "10.1/ABC", "123.0", "2015"), ("banana", "A (1)", "1; 2", "a", "k; l", "j", "Scopus", None, None, "x")]

@@ -79,3 +79,22 @@ def test_refresh_takes_new_files_once(spark, tmp_path, answer):
         refresh(spark, *paths, answer, pause=0)
     got = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
     assert sorted(r.citing_doi for r in got.collect()) == FIVE[:4]
+
+
+def test_a_batch_that_failed_before_its_commit_loses_nothing(spark, tmp_path, answer):
+    paths = [f"file://{tmp_path}/{x}" for x in ("in", "refs", "errs", "state")]
+    keys(spark, FIVE[:3]).write.parquet(paths[0])
+    refresh(spark, *paths, answer, pause=0)
+    keys(spark, FIVE).write.mode("append").parquet(paths[0])
+    refresh(spark, *paths, answer, pause=0)
+    for commit in (tmp_path / "state" / "commits").glob("*1*"):  # batch 1 wrote its answers, but was not committed
+        commit.unlink()
+    asked = []
+
+    def again(some):
+        asked.extend(some)
+        return answer(some)
+
+    refresh(spark, *paths, again, pause=0)
+    got = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
+    assert sorted(r.citing_doi for r in got.collect()) == FIVE
