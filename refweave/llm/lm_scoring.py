@@ -14,21 +14,26 @@ with b(c) the mass that the k-grams of c leave; words have
 p = (n + 0.5) / (N + 0.5 (V + 1)), which unknown ones share. A k-gram that is seen
 has its parts seen as often, so every level finds its lower ones.
 
-Words are counted by built-in functions; all texts are then read once more to become word numbers, checkpointed,
-from which each level is counted: tasks sum sorted runs and send them, packed, to
-the shards. No task holds more than a shard of about ``SHARD`` tokens, and none holds the
-vocabulary; the driver keeps the list of shards. Files lie in the shared folder under names of their own
-attempt and are moved into place whole, so lost tasks repeat.
+A first pass over the texts counts hashed words, summed within each task before they are shuffled as numbers; a second one turns
+all texts into word numbers, checkpointed, from which each level is counted: tasks sum sorted runs and send them, packed, to
+the shards. A level's shards are cut by the counts of its contexts, not by their number, into about ``SHARD`` training tokens each. A
+context that alone has more (a very common word) gets shards of its own, by ranges of the next word; their merged
+runs wait in the checkpointed table of shards until the sums of all of them are known, from which follows the context's back-off weight. So no
+task holds more n-grams than about twice ``SHARD``, and none holds the vocabulary; the driver keeps the list of shards.
+Files lie in the shared folder under names of their own attempt and are moved into place whole, so lost tasks repeat. Executors that
+cannot map the shared folder copy the shards that they read into Spark's own folder of the executor, which goes with it.
+
+Limits: 2^32 - 2 distinct words, and 2^64 possible numbers (contexts times words) in a level; more raise an error.
 
 Cases: a null or empty text is its end token alone; without training texts every word is
 unknown; repeated rows and ids count and are scored each; null ids have the remainder of the empty text, 0, and are trained
-on; an empty table gives an empty result; other columns are ignored.
+on; ties don't matter, as counts alone decide; very long texts are whole (their words are held at once, a few bytes each); an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,22 +41,30 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import ascii_lower, bucket_of, cut, shared_dir, table, words
+from refweave.llm.common import bucket_of, cut, shared_dir, table
 from refweave.llm.elias_fano import Sequence, encode
 
 ORDER = 3
 MIN_COUNT = 1
 DISCOUNT = 0.75
-SHARD = 4_000_000
-BATCH_TOKENS = 1_500_000
+SHARD = 2_000_000
+#: Tokens that a task handles at once, and n-grams (words in the first pass) that it sums before it sends a run.
+BATCH_TOKENS = 500_000
+RUN = 3_000_000
+#: Marks of running counts in each shard, by which the next level is cut: one for each GRAINth of a shard's tokens.
+GRAIN = 8
 #: Quantisation: codes are sixteenths of a decade below 1.
 STEP = 1 / 16
 
 _U = np.uint64
+#: A blank is no word.
+_END = xxhash.xxh64_intdigest(b" ")
 
 
 def _code(log10: np.ndarray) -> np.ndarray:
@@ -88,7 +101,7 @@ def map_arrays(folder: str, name: str, layout: str) -> dict[str, np.ndarray]:
     store, root, local = _local(folder)
     path = f"{root}/{name}"
     if not local:
-        path = os.path.join(tempfile.gettempdir(), name)
+        path = os.path.join(SparkFiles.getRootDirectory(), name)
         if not os.path.exists(path):
             with store.open_input_stream(f"{root}/{name}", compression=None) as src, open(f"{path}.{uuid.uuid4().hex}", "wb") as out:
                 while block := src.read(1 << 20):
@@ -111,6 +124,9 @@ class Level:
     contexts: np.ndarray  # first context of each shard
     offsets: np.ndarray  # place of each shard's first number
     files: list[tuple[str, str]]
+    size: int  # of all shards
+    marks: np.ndarray  # places at which running counts pass a grain
+    hot: dict[int, int]  # counts above a shard's, by place
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -188,16 +204,18 @@ class Trie:
         return out
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray, start: int) -> tuple[bytes, bytes]:
+    """Sorted keys from ``start`` on, and counts."""
+    steps = np.diff(keys, prepend=_U(start)).astype(_U)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)  # byte planes: the upper ones are zeros
+    return zlib.compress(planes.tobytes(), 1), zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     """Sorted keys and counts, packed for each shard (edges: the shards' first keys)."""
     cuts = np.searchsorted(keys, edges[1:])
-    out = []
-    for shard, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
-        if len(k):
-            steps = np.diff(k, prepend=edges[shard]).astype(_U)
-            planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)  # byte planes: the upper ones are zeros
-            out.append((shard, zlib.compress(planes.tobytes(), 1), zlib.compress(c.astype(np.uint32).tobytes(), 1)))
-    return out
+    runs = zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)
+    return [(shard, *_packed(k, c, int(edges[shard]))) for shard, (k, c) in enumerate(runs) if len(k)]
 
 
 def _unblob(keys: bytes, counts: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,21 +237,73 @@ def _arrays(keys: np.ndarray, counts: np.ndarray, start: int, bound: int) -> dic
     return {f"n_{k}": v for k, v in encode(keys - _U(start), bound).items()} | {f"s_{k}": v for k, v in encode(sums, total).items()}
 
 
-_MANIFEST = "shard int, size long, name string, layout string"
+_MANIFEST = "shard int, size long, mass long, name string, layout string, marks array<long>, hot array<struct<place:long,count:long>>, keys binary, counts binary"
+
+
+def _row(shard: int, counts: np.ndarray, per_shard: int, name: str | None = None, layout: str | None = None, keys: bytes | None = None, packed: bytes | None = None) -> pd.DataFrame:
+    """A shard's row of the manifest: without a file, its packed keys and counts."""
+    sums = np.cumsum(counts)
+    mass = int(sums[-1]) if len(sums) else 0
+    grain = max(1, per_shard // GRAIN)
+    marks = np.searchsorted(sums, np.arange(grain, mass + 1, grain)) if len(sums) else np.zeros(0, np.int64)
+    hot = [{"place": int(p), "count": int(counts[p])} for p in np.flatnonzero(counts > per_shard)]
+    return pd.DataFrame({"shard": [shard], "size": [len(counts)], "mass": [mass], "name": [name], "layout": [layout], "marks": [marks.tolist()], "hot": [hot], "keys": [keys], "counts": [packed]})
 
 
 def _level(folder: str, built: DataFrame, edges: np.ndarray, contexts: np.ndarray) -> Level:
-    rows = sorted(built.collect(), key=lambda r: r["shard"])  # one row for each shard
+    rows = sorted(built.select("shard", "size", "name", "layout", "marks", "hot").collect(), key=lambda r: r["shard"])  # one row for each shard
     sizes = np.array([r["size"] for r in rows], np.int64)
     at = np.array([r["shard"] for r in rows], np.int64)
-    return Level(folder, edges[at], contexts[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64), [(r["name"], r["layout"]) for r in rows])
+    offsets = np.cumsum(sizes) - sizes
+    marks = [np.array(r["marks"], np.int64) + o for r, o in zip(rows, offsets, strict=True)]
+    hot = {int(h["place"] + o): h["count"] for r, o in zip(rows, offsets, strict=True) for h in r["hot"]}
+    return Level(folder, edges[at], contexts[at], offsets, [(r["name"], r["layout"]) for r in rows], int(sizes.sum()), np.concatenate([*marks, np.zeros(0, np.int64)]), hot)
+
+
+def _cuts(below: Level, v: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first number of each shard of the level above, and whether its context is cut."""
+    first = {0, *(int(p) + 1 for p in below.marks[GRAIN - 1 :: GRAIN])} | {p + e for p in below.hot for e in (0, 1)}
+    edges, split = [], []
+    for c in sorted(x for x in first if x < max(1, below.size)):
+        parts = min(v, -(-below.hot.get(c, 0) // shard)) or 1
+        edges += [c * v + i * v // parts for i in range(parts)]
+        split += [parts > 1] * parts
+    return np.array(edges, _U), np.array(split)
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """Hashes of the words in order, and of the end; bytes are lower-cased and split at ASCII letters and white space only."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = np.full(len(found) + 1, _END, _U)
+    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, found), _U, len(found))
+    return out
+
 
+def build_words(texts: DataFrame, folder: str, shard: int = SHARD) -> Trie:
+    """Level 1 from the training texts (t)."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"h": keys.view(np.int64), "c": n})
+
+        for part in parts:
+            for text in part["t"]:
+                held.append(hashed_words(text))
+                size += len(held[-1])
+                if size >= RUN:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-def build_words(tokens: DataFrame, folder: str, shard: int = SHARD) -> Trie:
-    """Level 1 from (w: array of word hashes, with the end) of the training texts."""
-    counts = cut(tokens.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("c")))
+    counts = cut(texts.select("t").mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
+    if v >= (1 << 32) - 1:
+        raise ValueError(f"{v} distinct words; at most 2^32 - 2 can be numbered")
     bits = max(0, (max(1, v) // max(1, shard // 4)).bit_length())
     edges = np.arange(1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(1, _U)
 
@@ -241,8 +311,8 @@ def build_words(tokens: DataFrame, folder: str, shard: int = SHARD) -> Trie:
         k = int(part["shard"].iloc[0])
         keys = part["h"].to_numpy(np.int64).view(_U)
         order = np.argsort(keys)
-        name, layout = save_arrays(folder, _arrays(keys[order], part["c"].to_numpy(np.int64)[order], int(edges[k]), 1 << (64 - bits) if bits else (1 << 64) - 1))
-        return pd.DataFrame({"shard": [k], "size": [len(keys)], "name": [name], "layout": [layout]})
+        own = part["c"].to_numpy(np.int64)[order]
+        return _row(k, own, shard, *save_arrays(folder, _arrays(keys[order], own, int(edges[k]), 1 << (64 - bits) if bits else (1 << 64) - 1)))
 
     which = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     built = cut(counts.select(which.alias("shard"), "h", "c").groupBy("shard").applyInPandas(build, _MANIFEST))
@@ -250,28 +320,34 @@ def build_words(tokens: DataFrame, folder: str, shard: int = SHARD) -> Trie:
 
 
 def number_tokens(docs: DataFrame, trie: Trie) -> DataFrame:
-    """(id, train, n_tokens, n_known, base_score, ids) from (id, train, w): ids are the words' numbers as four bytes each, V if unknown."""
+    """(id, train, n_tokens, n_known, base_score, ids) from (id, train, t): ids are the words' numbers as four bytes each, V if unknown."""
+
+    def numbered(part: pd.DataFrame, hashes: list[np.ndarray]) -> pd.DataFrame:
+        sizes = np.array([len(x) for x in hashes], np.int64)
+        unique, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        places = trie.levels[0].find(unique)
+        counts = np.zeros(len(unique), np.int64)
+        counts[places >= 0] = trie.levels[0].counts(places[places >= 0])
+        starts = np.cumsum(sizes) - sizes
+        ids = np.where(places >= 0, places, trie.n_words).astype(np.uint32)[back]
+        return pd.DataFrame(
+            {
+                "id": part["id"], "train": part["train"], "n_tokens": sizes,
+                "n_known": np.add.reduceat((counts > 0).astype(np.int64)[back], starts),
+                "base_score": np.add.reduceat(trie.word_log_p(counts)[back], starts),
+                "ids": [x.tobytes() for x in np.split(ids, starts[1:])],
+            }
+        )
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if not len(part):
-                continue
-            sizes = np.array([len(x) for x in part["w"]], np.int64)
-            flat = np.concatenate(list(part["w"])).astype(np.int64).view(_U)
-            unique, back = np.unique(flat, return_inverse=True)
-            places = trie.levels[0].find(unique)
-            counts = np.zeros(len(unique), np.int64)
-            counts[places >= 0] = trie.levels[0].counts(places[places >= 0])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids = np.where(places >= 0, places, trie.n_words).astype(np.uint32)[back]
-            yield pd.DataFrame(
-                {
-                    "id": part["id"], "train": part["train"], "n_tokens": sizes,
-                    "n_known": np.add.reduceat((counts > 0).astype(np.int64)[back], starts),
-                    "base_score": np.add.reduceat(trie.word_log_p(counts)[back], starts),
-                    "ids": [x.tobytes() for x in np.split(ids, starts[1:])],
-                }
-            )
+            lo, hashes, size = 0, [], 0
+            for i, text in enumerate(part["t"]):
+                hashes.append(hashed_words(text))
+                size += len(hashes[-1])
+                if size >= BATCH_TOKENS or i == len(part) - 1:
+                    yield numbered(part.iloc[lo : i + 1], hashes)
+                    lo, hashes, size = i + 1, [], 0
 
     return cut(docs.mapInPandas(number, "id string, train boolean, n_tokens long, n_known long, base_score double, ids binary"))
 
@@ -293,10 +369,11 @@ def add_level(trie: Trie, numbered: DataFrame, folder: str, min_count: int = MIN
     """The trie with one more level, counted from the training rows of ``numbered``."""
     k, v = len(trie.levels), trie.n_words
     below = trie.levels[-1]
-    n_contexts = v if k == 1 else (int(below.offsets[-1]) + len(below.shard(len(below.files) - 1)["log_p"]) if below.files else 0)
-    shards = max(1, min(-(-trie.n_tokens // shard), n_contexts))
-    contexts = np.array([i * n_contexts // shards for i in range(shards)], np.int64)
-    edges = contexts.astype(_U) * _U(v)
+    if below.size * v >= 1 << 64:
+        raise ValueError(f"{below.size} contexts times {v} words can't be numbered in 64 bits")
+    edges, split = _cuts(below, v, shard)
+    contexts = (edges // _U(max(1, v))).astype(np.int64)
+    ends = [*map(int, edges[1:]), below.size * v]
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts, held = [], [], 0
@@ -314,39 +391,59 @@ def add_level(trie: Trie, numbered: DataFrame, folder: str, min_count: int = MIN
             keys.append(number)
             counts.append(n)
             held += len(number)
-            if held > 4 * BATCH_TOKENS:
+            if held > RUN:
                 yield flush()
                 keys, counts, held = [], [], 0
         if held:
             yield flush()
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        s = int(part["shard"].iloc[0])
-        runs = [_unblob(a, b, int(edges[s])) for a, b in zip(part["keys"], part["counts"], strict=True)]
-        keys, counts = _summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-        kept = counts >= min_count
-        keys, counts = keys[kept], counts[kept]
+    def finished(s: int, keys: np.ndarray, counts: np.ndarray, of_split: tuple[int, int] | None = None) -> pd.DataFrame:
+        """A shard's row, once its file is written. ``of_split``: counts and n-grams of its one context in all shards."""
         context, word = (keys // _U(v)).astype(np.int64), (keys % _U(v)).astype(np.int64)
-        own, back = np.unique(context, return_inverse=True)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        first, back = np.flatnonzero(new), np.cumsum(new) - 1
+        own = context[first]
         of_context = below.counts(own)
-        share = (counts - DISCOUNT) / of_context[back]
-        left = np.maximum(1 - np.bincount(back, share, minlength=len(own)), 1e-9)
+        mass, n = (np.array([x]) for x in of_split) if of_split else (np.add.reduceat(counts, first), np.diff(first, append=len(keys)))
+        left = np.maximum((of_context - mass + DISCOUNT * n) / of_context, 1e-9)
         if k == 1:
             lower = trie.word_log_p(below.counts(word))
         else:  # the n-gram without its first word is there, since it was seen as often
             lower = _below(trie, own, k)[back]
             place = trie.levels[k - 1].find(lower.astype(_U) * _U(v) + word.astype(_U))
             lower = trie.levels[k - 1].log_p(np.maximum(place, 0))
-        log_p = np.log10(share + left[back] * 10.0**lower)
-        last = int(contexts[s + 1]) if s + 1 < shards else n_contexts
-        back_off = np.zeros(last - int(contexts[s]), np.uint8)
+        log_p = np.log10((counts - DISCOUNT) / of_context[back] + left[back] * 10.0**lower)
+        back_off = np.zeros(-(-ends[s] // v) - int(contexts[s]), np.uint8)
         back_off[own - int(contexts[s])] = _code(np.log10(left))
-        arrays = _arrays(keys, counts, int(edges[s]), (last - int(contexts[s])) * v)
-        name, layout = save_arrays(folder, arrays | {"log_p": _code(log_p), "back_off": back_off})
-        return pd.DataFrame({"shard": [s], "size": [len(keys)], "name": [name], "layout": [layout]})
+        arrays = _arrays(keys, counts, int(edges[s]), ends[s] - int(edges[s]))
+        return _row(s, counts, shard, *save_arrays(folder, arrays | {"log_p": _code(log_p), "back_off": back_off}))
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        s = int(part["shard"].iloc[0])
+        runs = [_unblob(a, b, int(edges[s])) for a, b in zip(part["keys"], part["counts"], strict=True)]
+        keys, counts = _summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+        kept = counts >= min_count
+        keys, counts = keys[kept], counts[kept]
+        if split[s]:
+            return _row(s, counts, shard, None, None, *_packed(keys, counts, int(edges[s])))
+        return finished(s, keys, counts)
 
     runs = numbered.filter("train").select("ids").mapInPandas(count, "shard int, keys binary, counts binary")
     built = cut(runs.groupBy("shard").applyInPandas(build, _MANIFEST))
+    if split.any():
+        waiting = built.filter("name IS NULL")
+        sums: dict[int, tuple[int, int]] = {}
+        for r in waiting.select("shard", "mass", "size").collect():  # a row for each shard of a cut context
+            mass, n = sums.get(int(contexts[r["shard"]]), (0, 0))
+            sums[int(contexts[r["shard"]])] = mass + r["mass"], n + r["size"]
+
+        def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for s, keys, counts in zip(part["shard"], part["keys"], part["counts"], strict=True):
+                    yield finished(s, *_unblob(keys, counts, int(edges[s])), sums[int(contexts[s])])
+
+        done = waiting.select("shard", "keys", "counts").repartition(int(split.sum()), "shard").mapInPandas(finish, _MANIFEST)
+        built = cut(built.filter("name IS NOT NULL").union(done))
     return Trie([*trie.levels, _level(folder, built, edges, contexts)], trie.n_tokens, v)
 
 
@@ -382,20 +479,15 @@ def token_log_p(trie: Trie, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashed_tokens(docs: DataFrame, train, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, train, w): the hashes of the words and of the end, which is a blank and so no word."""
-    own = F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w))
-    return docs.select(F.col(key).cast("string").alias("id"), train.alias("train"), F.concat(own, F.array(F.xxhash64(F.lit(" ")))).alias("w"))
-
-
-def build_trie(docs: DataFrame, train, order: int = ORDER, folder: str | None = None) -> tuple[Trie, DataFrame]:
+def build_trie(docs: DataFrame, train, order: int = ORDER, folder: str | None = None, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> tuple[Trie, DataFrame]:
     """The model of the rows where ``train`` holds, and ``number_tokens`` of all rows."""
     folder = folder or os.path.join(shared_dir(docs.sparkSession), f"trie-{uuid.uuid4().hex}")
-    tokens = hashed_tokens(docs, train)
-    trie = build_words(tokens.filter("train"), folder)
-    numbered = number_tokens(tokens, trie)
+    # Ids travel as text: pandas would make a nullable long a double.
+    texts = docs.select(F.col(key).cast("string").alias("id"), train.alias("train"), F.col(text).alias("t"))
+    trie = build_words(texts.filter("train"), folder, shard)
+    numbered = number_tokens(texts, trie)
     for _ in range(1, order):
-        trie = add_level(trie, numbered, folder)
+        trie = add_level(trie, numbered, folder, shard=shard)
     return trie, numbered
 
 
