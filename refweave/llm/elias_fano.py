@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+_STEP = 1 << 18
 #: Place of the r-th one of a byte: 8 for fewer ones.
 _SELECT = np.array([[([i for i in range(8) if x >> i & 1] + [8] * 8)[r] for r in range(8)] for x in range(256)], dtype=np.int64).ravel()
 _FIVES, _THREES, _NIBBLES, _ONES, _TOPS = (_U(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
@@ -38,17 +39,19 @@ def encode(values: np.ndarray, bound: int) -> dict[str, np.ndarray]:
     n = len(values)
     low = _width(n, bound)
     words = np.zeros(n * low // 64 + 2, _U)
-    if low:
-        at = np.arange(n, dtype=np.int64) * low
-        part = values & _U((1 << low) - 1)
+    for lo in range(0, n if low else 0, _STEP):  # in slices, for memory
+        own = values[lo : lo + _STEP]
+        at = np.arange(lo, lo + len(own), dtype=np.int64) * low
+        part = own & _U((1 << low) - 1)
         word, off = at >> 6, (at & 63).astype(_U)
         np.bitwise_or.at(words, word, part << off)
         over = (at & 63) + low > 64
         np.bitwise_or.at(words, word[over] + 1, part[over] >> (_U(64) - off[over]))
-    highs = (values >> _U(low)).astype(np.int64) + np.arange(n)
     size = (bound >> low) + n + 65
     bits = np.zeros(size // 64 + 1, _U)
-    np.bitwise_or.at(bits, highs >> 6, _U(1) << (highs & 63).astype(_U))
+    for lo in range(0, n, _STEP):
+        highs = (values[lo : lo + _STEP] >> _U(low)).astype(np.int64) + np.arange(lo, min(n, lo + _STEP))
+        np.bitwise_or.at(bits, highs >> 6, _U(1) << (highs & 63).astype(_U))
     ones = np.bitwise_count(bits).astype(np.int64)
     return {"low": words, "bits": bits, "before": np.concatenate([[0], np.cumsum(ones)]).astype(np.int64), "head": np.array([n, low, bound], dtype=_U)}
 

@@ -56,7 +56,7 @@ DISCOUNT = 0.75
 SHARD = 2_000_000
 #: Tokens that a task handles at once, and n-grams (words in the first pass) that it sums before it sends a run.
 BATCH_TOKENS = 500_000
-RUN = 3_000_000
+RUN = 2_000_000
 #: Marks of running counts in each shard, by which the next level is cut: one for each GRAINth of a shard's tokens.
 GRAIN = 8
 #: Quantisation: codes are sixteenths of a decade below 1.
@@ -140,7 +140,7 @@ class Level:
 
     def _by_shard(self, of: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         which = np.searchsorted(starts, of, side="right") - 1
-        order = np.argsort(which, kind="stable")
+        order = np.argsort(which.astype(np.int16) if len(starts) < 1 << 15 else which, kind="stable")  # numbers of 16 bits are sorted by their digits
         cuts = np.flatnonzero(np.diff(which[order])) + 1
         for part in np.split(order, cuts):
             if len(part) and which[part[0]] >= 0:
@@ -399,31 +399,39 @@ def add_level(trie: Trie, numbered: DataFrame, folder: str, min_count: int = MIN
 
     def finished(s: int, keys: np.ndarray, counts: np.ndarray, of_split: tuple[int, int] | None = None) -> pd.DataFrame:
         """A shard's row, once its file is written. ``of_split``: counts and n-grams of its one context in all shards."""
-        context, word = (keys // _U(v)).astype(np.int64), (keys % _U(v)).astype(np.int64)
-        new = np.concatenate([[True], context[1:] != context[:-1]])
-        first, back = np.flatnonzero(new), np.cumsum(new) - 1
-        own = context[first]
+        log_p = np.zeros(len(keys), np.uint8)
+        back_off = np.zeros(-(-ends[s] // v) - int(contexts[s]), np.uint8)
+        of = keys // _U(v)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        own = of[first].astype(np.int64)
+        del of
         of_context = below.counts(own)
         mass, n = (np.array([x]) for x in of_split) if of_split else (np.add.reduceat(counts, first), np.diff(first, append=len(keys)))
         left = np.maximum((of_context - mass + DISCOUNT * n) / of_context, 1e-9)
-        if k == 1:
-            lower = trie.word_log_p(below.counts(word))
-        else:  # the n-gram without its first word is there, since it was seen as often
-            lower = _below(trie, own, k)[back]
-            place = trie.levels[k - 1].find(lower.astype(_U) * _U(v) + word.astype(_U))
-            lower = trie.levels[k - 1].log_p(np.maximum(place, 0))
-        log_p = np.log10((counts - DISCOUNT) / of_context[back] + left[back] * 10.0**lower)
-        back_off = np.zeros(-(-ends[s] // v) - int(contexts[s]), np.uint8)
         back_off[own - int(contexts[s])] = _code(np.log10(left))
+        shorter = None if k == 1 else _below(trie, own, k)
+        for lo in range(0, len(keys), BATCH_TOKENS):  # in slices, for memory
+            at = np.arange(lo, min(len(keys), lo + BATCH_TOKENS))
+            back = np.searchsorted(first, at, side="right") - 1
+            word = (keys[at] % _U(v)).astype(np.int64)
+            if k == 1:
+                lower = trie.word_log_p(below.counts(word))
+            else:  # the n-gram without its first word is there, since it was seen as often
+                place = below.find(shorter[back].astype(_U) * _U(v) + word.astype(_U))
+                lower = below.log_p(np.maximum(place, 0))
+            log_p[at] = _code(np.log10((counts[at] - DISCOUNT) / of_context[back] + left[back] * 10.0**lower))
         arrays = _arrays(keys, counts, int(edges[s]), ends[s] - int(edges[s]))
-        return _row(s, counts, shard, *save_arrays(folder, arrays | {"log_p": _code(log_p), "back_off": back_off}))
+        return _row(s, counts, shard, *save_arrays(folder, arrays | {"log_p": log_p, "back_off": back_off}))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         s = int(part["shard"].iloc[0])
         runs = [_unblob(a, b, int(edges[s])) for a, b in zip(part["keys"], part["counts"], strict=True)]
-        keys, counts = _summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-        kept = counts >= min_count
-        keys, counts = keys[kept], counts[kept]
+        keys, counts = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        del runs
+        keys, counts = _summed(keys, counts)
+        if min_count > 1:
+            kept = counts >= min_count
+            keys, counts = keys[kept], counts[kept]
         if split[s]:
             return _row(s, counts, shard, None, None, *_packed(keys, counts, int(edges[s])))
         return finished(s, keys, counts)
@@ -472,8 +480,7 @@ def token_log_p(trie: Trie, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         context = np.concatenate([[-1], at[k - 1][:-1]])
         context[starts] = -1
         has = np.flatnonzero(context >= 0)
-        own, inverse = np.unique(context[has], return_inverse=True)
-        out[has] += trie.levels[k].back_off(own)[inverse]
+        out[has] += trie.levels[k].back_off(context[has])
         found = np.flatnonzero(at[k] >= 0)
         out[found] = trie.levels[k].log_p(at[k][found])
     return out
