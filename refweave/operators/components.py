@@ -1,8 +1,9 @@
 """Weakly connected components by alternating large and small stars (Kiveris et al. 2014).
 
-Both steps are an aggregation by vertex (a minimum, combined before the shuffle) and an
-equi-join of the edges with it, so a vertex with very many edges is never gathered in one
-task, and the number of rounds grows with the logarithm of the longest path. Every
+Both steps are an aggregation by vertex (a minimum, combined before the shuffle) and a
+lookup of it for each edge. Each component soon is a star, whose centre has as many edges as the component has vertices, so the lookup
+is ``skew.lookup``: the edges of centres with more than a thousandth of all edges stay where they are and get the minimum by broadcast. The
+number of rounds grows with the logarithm of the longest path. Every
 round ends in a checkpoint in the shared folder.
 """
 
@@ -12,35 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions.lineage import cut
+from refweave.operators.skew import lookup
 
 
-def _towards_least(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with m, the least of u and all its v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("of")).select("u", "v", "m")
+def _towards_least(edges: DataFrame, among: DataFrame, total: int) -> DataFrame:
+    """Each edge (u, v) with m, the least of u and all its v ``among`` the edges, of which there are ``total``."""
+    least = among.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return lookup(edges, least.select("u", F.least("u", "m").alias("m"), "n"), "u", "n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _towards_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    up = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    both = up.union(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _towards_least(up, both, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _towards_least(down)
-    out = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.union(linked.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
+    linked = _towards_least(down, down, total)
+    pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return linked.select(pairs.alias("p")).select("p.u", "p.v").filter(F.col("u") != F.col("v")).distinct()
 
 
 def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, label) for every endpoint: the least vertex of its component. Direction, repeats and loops don't matter; edges with a null end are dropped."""
     known = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     vertices = known.select("u").union(known.select("v")).distinct()
-    now, mark = cut(known.filter(F.col("u") != F.col("v")).distinct()), None
-    while True:
-        now = cut(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
+    now = cut(known.filter(F.col("u") != F.col("v")).distinct())
+    mark = None
+    seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    while seen != mark:
         mark = seen
+        now = cut(_small_star(cut(_large_star(now, mark["n"])), mark["n"]))
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return vertices.join(now, "u", "left").select(F.col("u").alias("id"), F.coalesce("v", "u").alias("label"))
