@@ -18,5 +18,6 @@ ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -2,23 +2,24 @@
 
 Writing: digests and lengths are computed by built-in functions. Each payload's
 smallest page_id comes from an aggregation over digests (partial before the shuffle), and
-is joined back by digest as narrow rows, so a payload that a third of all pages share
-costs no more than its rows of two numbers, and a skewed join is split at run time. The
+is joined back by digest as narrow rows through ``skew.lookup``, so the pages of a payload that a third of all pages share
+get it where they are. The
 revisits found so meet the payloads by page_id. Each task streams its records into
 part files of the shared folder, under a name of its own attempt, and moves each into place when it
 is whole; the list of files is itself written as a table before anything is read, so a lost
 executor only repeats its own files.
 
-Reading: a task gets a file, inflates it member by member with zlib's incremental
-decompressor in fixed steps, frames each record by its Content-Length and verifies block and
-payload digests; memory is bounded by the largest record. A broken frame or digest raises.
+Reading: the files, whose number and bytes the manifest has, are dealt to tasks of one to a few files each. A task inflates a file member by member with zlib's incremental
+decompressor in fixed steps. The record's header says its Content-Length as soon as it is there; the member must end just behind the two line breaks after so many
+bytes, else it is broken. Block and
+payload digests are verified; memory is bounded by the largest record. A broken frame or digest raises.
 
 A record is a response (payload: the page in UTF-8) or a revisit of the response with the
 same payload, without a body. Payloads below ``least_bytes`` are always responses.
 
 Cases: null html is the empty payload; null urls are written empty; a null page_id is kept, is always a response
 and revisited by none; rows that repeat page_id and payload are all responses where they have the smallest id, else
-all revisits; an empty table gives no files and an empty result; other columns are ignored.
+all revisits; ties (equal payloads) go to the smallest page_id; very long pages are whole, in memory one at a time; an empty table gives no files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.llm.common import cut, shared_dir, table
+from refweave.operators.skew import lookup
 
 STEP = 1 << 16
 FILE_BYTES = 64 << 20
@@ -71,20 +73,42 @@ def encode_record(page_id: int | str | None, url: str | None, payload: bytes, re
     return deflate.compress(head + body + b"\r\n\r\n") + deflate.flush()
 
 
+def framed_length(member: bytes | bytearray) -> int | None:
+    """The length of a record by its Content-Length, header and line breaks included; None while the header isn't whole."""
+    end = member.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    for line in bytes(member[:end]).split(b"\r\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            return end + 4 + int(value) + 4
+    raise ValueError("a record without Content-Length")
+
+
 def inflated_members(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The inflated bytes of each gzip member of a stream."""
-    inflate, out = zlib.decompressobj(31), bytearray()
+    """The inflated records of a stream of gzip members, framed by their Content-Length."""
+    inflate, out, length = zlib.decompressobj(31), bytearray(), None
     begun = False
+
+    def add(more: bytes) -> None:
+        nonlocal out, length
+        out += more
+        length = framed_length(out) if length is None else length
+        if length is not None and len(out) > length:
+            raise ValueError("a member goes on beyond its record's Content-Length")
+
     for chunk in chunks:
         while chunk:
             begun = True
-            out += inflate.decompress(chunk, STEP)
+            add(inflate.decompress(chunk, STEP))
             while not inflate.eof and inflate.unconsumed_tail:
-                out += inflate.decompress(inflate.unconsumed_tail, STEP)
+                add(inflate.decompress(inflate.unconsumed_tail, STEP))
             if not inflate.eof:
                 break
+            if len(out) != length:
+                raise ValueError("a member ends before its record's Content-Length")
             yield bytes(out)
-            chunk, inflate, out, begun = inflate.unused_data, zlib.decompressobj(31), bytearray(), False
+            chunk, inflate, out, length, begun = inflate.unused_data, zlib.decompressobj(31), bytearray(), None, False
     if begun:
         raise ValueError("the archive ends within a record")
 
@@ -116,8 +140,10 @@ def planned_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     marks = sized.select("page_id", F.octet_length("html").alias("n"), F.sha1(F.col("html").cast("binary")).alias("sha1"))
     marks = marks.filter(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "sha1")
-    first = marks.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter(F.col("last") > F.col("first"))
-    again = marks.join(first.select(F.col("sha1").alias("of"), "first"), F.col("sha1") == F.col("of")).filter(F.col("page_id") > F.col("first"))
+    shared = marks.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("pages")).filter(F.col("last") > F.col("first"))
+    shared = cut(shared.select("sha1", "first", "pages"))
+    total = shared.agg(F.sum("pages").alias("n")).first()["n"] or 0  # pages with a payload that comes again
+    again = lookup(marks, shared, "sha1", "pages", total).filter(F.col("page_id") > F.col("first"))
     again = again.select(F.col("page_id").alias("again"), F.col("sha1").alias("payload"), F.col("first").alias("refers_to")).distinct()
     same = (F.col("page_id") == F.col("again")) & (F.sha1(F.col("html").cast("binary")) == F.col("payload"))
     return sized.join(again, same, "left").select("page_id", "url", "html", "refers_to")
@@ -182,8 +208,10 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
     def frame(batch: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(batch, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"payload_bytes": "int64"})
 
-    # A task for each few files: their number follows the data, and no row is larger than a path.
-    read = files.repartition(F.col("path")).mapInPandas(rows, RECORDS)
+    # A given number of partitions is kept: one for each file up to what runs at once, then by bytes.
+    known = files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    lanes = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-(known["bytes"] or 0) // (4 * FILE_BYTES)))
+    read = files.repartition(max(1, min(known["n"], lanes))).mapInPandas(rows, RECORDS)
     return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
@@ -191,3 +219,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = os.path.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
     files = write_warc(planned_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0), folder)
     return read_warc(files, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _oracle() -> str:
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    # Five hex digits of the digest are four characters.
+    four = " || ".join(f"substr('{alphabet}', (('0x' || substr(h, 5 * k + 1, 5))::BIGINT >> {shift}) % 32 + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT page_id, html, h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: {four}), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM m"""
+
+
+ORACLE = _oracle()
