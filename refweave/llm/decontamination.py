@@ -4,21 +4,23 @@ A text's shingles are the distinct runs of five words (lower-cased ASCII, letter
 digits); a text of one to four words has its whole sequence as its one shingle. An item
 is found in a document if the document holds at least ``threshold`` of the item's shingles.
 
-Comparing whole signatures loses short items in long documents, so only the item is
-sketched, by its k smallest shingle hashes, and the document is probed with them. Items
-are partitioned by size (powers of two); k is, for the largest item of the partition, one
-more than the number of shingles that a match may lack. So a document that contains
-the item shares a sketch value with it for certain: the search loses nothing. Candidates
-pass a length filter and are verified by the exact containment of the shingles as text.
-
-The document side is one scan: words, shingle hashes and the probe of the broadcast
-sketches run in one stage, only verified hits are shuffled, to keep one row for each pair.
-Sketches are broadcast where counting shows at most ``BROADCAST_ROWS`` of them; larger
-benchmarks are joined by hash value, which is uniform but for shingles that all share.
+Both sides are partitioned by size, in powers of two, and sketched by MinHash values. An item's sketch is its k smallest
+shingle hashes, where k is, for the largest item of the partition, one more than the number of shingles that a match may lack: so a
+document that contains the item holds one of them for certain. A document's signature is all its shingle hashes up to a threshold
+(a sketch by threshold, Yang et al. 2019): for its partition the largest sketch value of any item that fits in documents of
+that size. So the signature holds every shared sketch value, and the search loses nothing, however short the item and long the document,
+unless the item has less than five words: that is found only in a document that consists of just these words.
+
+A candidate is verified once, at the smallest sketch value that it shares with the document, by a length filter and
+the exact containment of the shingles as text. The document side is one scan: words, signature, probe of the broadcast
+sketches and verification run in one stage, only pairs found are shuffled, to keep one row for each.
+Sketches are broadcast where counting shows at most ``BROADCAST_ROWS`` of them. Larger
+benchmarks are joined by hash value, which is uniform but for shingles that all share, with rows of a document's key and a number; the distinct candidates
+then meet the texts, each of which is shuffled once.
 
 Cases: null and empty texts and items have no shingles and match nothing; equal items and
-null ids match each by themselves; several rows of one document id count as one document, with its
-best row; an empty table on either side gives an empty result; other columns are ignored.
+null ids match each by themselves; ties don't matter, as all pairs are returned; very long texts are whole; several rows of one document id count as one document, with its
+best row; an empty table on either side gives an empty result; other columns are ignored, and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import LETTER_WORD, ascii_lower, let, table, words
+from refweave.functions.lineage import fresh
+from refweave.llm.common import LETTER_WORD, ascii_lower, cut, let, table, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -55,36 +58,66 @@ def shingle_texts(w: Column) -> Column:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "item_id") -> DataFrame:
-    """(item_id, shingles, n, need, probe): a row for each value of each item's sketch."""
-    own = items.select(F.col(key).alias("item_id"), words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
-    own = own.select("item_id", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w")))).alias("hashes"))
-    own = own.filter(F.size("shingles") > 0).withColumn("n", F.size("shingles"))
-    largest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n"))) + 1) - 1
+    """(item_id, item: a hash of the text, shingles, n, need, size_class, sketch) of each item with a shingle."""
+    own = items.select(F.col(key).alias("item_id"), F.xxhash64(text).alias("item"), words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
+    own = own.select("item_id", "item", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w")))).alias("hashes"))
+    own = own.filter(F.size("shingles") > 0).withColumn("n", F.size("shingles")).withColumn("size_class", _size_class(F.col("n")))
+    largest = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
     k = (F.floor(F.lit(1 - threshold) * largest + 1e-9) + 1).cast("int")
     need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
-    return own.select("item_id", "shingles", "n", need.alias("need"), F.explode(F.slice("hashes", F.lit(1), k)).alias("probe"))
+    return own.select("item_id", "item", "shingles", "n", need.alias("need"), "size_class", F.slice("hashes", F.lit(1), k).alias("sketch"))
+
+
+def _size_class(n: Column) -> Column:
+    """The partition of n shingles: n from 2^c to 2^(c+1) - 1."""
+    return F.floor(F.log2(n)).cast("int")
+
+
+def signature_limits(sketched: DataFrame) -> list[int | None]:
+    """For each partition of document sizes the largest sketch value of the items that fit in; None if none does."""
+    rows = sketched.groupBy("size_class").agg(F.min("need").alias("need"), F.max(F.element_at("sketch", -1)).alias("value")).collect()  # a row for each partition: 31 at most
+    return [max((r["value"] for r in rows if r["need"] < 2 << c), default=None) for c in range(31)]
+
+
+def _n_shingles(w: Column) -> Column:
+    return F.greatest(F.lit(1), F.size(w) - (SHINGLE - 1))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The columns ``keys`` of the document with item_id, item_shingles, shared and containment: one row for each pair found."""
-    index = sketches(items, threshold)
+    sketched = sketches(items, threshold)
+    limits = F.array(*[F.lit(x).cast("long") for x in signature_limits(sketched)])
+    index = sketched.select("*", F.posexplode("sketch").alias("rank", "probe"))
+    own = docs.select(F.struct(*keys).alias("row"), F.xxhash64(text).alias("of_text"), words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
+    limit = F.get(limits, _size_class(_n_shingles(F.col("w"))))
+    own = own.select("row", "of_text", "w", F.array_distinct(let(limit, lambda t: F.filter(shingle_hashes(F.col("w")), lambda h: h <= t))).alias("signature"))
+    shared = F.when(_n_shingles(F.col("w")) >= F.col("need"), F.size(F.array_intersect("shingles", shingle_texts(F.col("w"))))).otherwise(0)
     if index.count() <= broadcast_rows:
-        index = F.broadcast(index)
-    own = docs.select(*keys, words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
-    probed = own.select(*keys, "w", F.explode(shingle_hashes(F.col("w"))).alias("hash"))
-    hits = probed.join(index, F.col("hash") == F.col("probe"))
-    long_enough = F.greatest(F.lit(1), F.size("w") - (SHINGLE - 1)) >= F.col("need")
-    shared = F.when(long_enough, F.size(F.array_intersect("shingles", shingle_texts(F.col("w"))))).otherwise(0)
-    found = hits.select(*keys, "item_id", "n", "need", shared.alias("shared")).filter(F.col("shared") >= F.col("need"))
-    best = found.groupBy(*keys, "item_id", "n").agg(F.max("shared").alias("shared"))
+        probed = own.select("row", "w", "signature", F.explode("signature").alias("hash"))
+        hits = probed.join(F.broadcast(index), F.col("hash") == F.col("probe"))
+        first = F.size(F.array_intersect(F.slice("sketch", F.lit(1), F.col("rank")), F.col("signature"))) == 0
+        pairs = hits.filter(first)
+    else:
+        probed = own.select("row", "of_text", _n_shingles(F.col("w")).alias("fits"), F.explode("signature").alias("hash"))
+        hits = probed.join(index.select("item_id", "item", "need", "probe"), F.col("hash") == F.col("probe")).filter(F.col("fits") >= F.col("need"))
+        found = cut(hits.select(F.struct("row", "of_text").alias("which"), F.struct("item_id", "item").alias("what")).distinct())
+        texts = own.select(F.struct("row", "of_text").alias("which"), "row", "w")
+        whole = sketched.select(F.struct("item_id", "item").alias("what"), "item_id", "shingles", "n", "need")
+        pairs = texts.join(found, "which").join(whole, "what")
+    verified = pairs.select("row.*", "item_id", "n", "need", shared.alias("shared")).filter(F.col("shared") >= F.col("need"))
+    best = verified.groupBy(*keys, "item_id", "n").agg(F.max("shared").alias("shared"))
     return best.select(*keys, "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("shared").cast("long").alias("shared"), F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that contain an item. Documents are told apart by id and text, so rows of null or repeated ids stay unless they contain one themselves."""
-    marked = docs.select("*", F.struct(F.col("doc_id"), F.xxhash64("text")).alias("_which"))
-    bad = contained_items(marked, items, threshold, keys=("_which",)).select(F.col("_which").alias("_bad")).distinct()
-    return marked.join(bad, F.col("_which").eqNullSafe(F.col("_bad")), "left_anti").drop("_which")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without those that contain an item. Documents are told apart by id and text, so rows of null or repeated ids stay unless they contain one themselves.
+
+    The documents found, a struct of two numbers each, go to the texts if counting shows at most ``broadcast_rows`` of them.
+    """
+    which = fresh(docs, "which")
+    bad = cut(contained_items(docs.select(F.struct("doc_id", F.xxhash64("text")).alias(which), "text"), items, threshold, keys=(which,)).select(F.col(which).alias("_" + which)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.join(bad, F.struct("doc_id", F.xxhash64("text")).eqNullSafe(F.col("_" + which)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
