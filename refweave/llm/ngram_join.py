@@ -17,15 +17,17 @@ sets are one node, named by a 64-bit hash of the set, so copies are never paired
    unshared tokens before it, in either set, cannot belong to a link (length and positional filters).
 4. Bitmaps: a set's bitmap holds, for each of 512 bits, the parity of its tokens that hash to it. Two bitmaps differ in at
    most as many bits as the sets have unshared tokens, so a pair that differs in more than a link allows is left out, without loss.
-5. Stars: each node of a token is compared with that one which has the fewest prefix
-   tokens of its own, the least edited copy. These pairs are at most as many as the rows, and a group of near
-   copies falls into one component without its pairs being listed.
+5. Stars: each node of a token is paired with that one which has the fewest prefix
+   tokens of its own, the least edited copy. These pairs are at most as many as the rows; those that come up at as many tokens as they need matches
+   are verified, and a group of near copies falls into one component without its pairs being listed.
 6. Rest: only tokens whose nodes lie in different components still give pairs, of nodes from
-   different components that pass the filters, with enough matches. They are verified exactly too. A link that was never listed joins nodes that are already connected, so
+   different components that pass the filters, with enough matches at any tokens. They are verified exactly too. A link that was never listed joins nodes that are already connected, so
    the components are those of all links.
 
 Verification sends each set once to every node that it is compared with; a node with
-many partners is dealt to several tasks. Links and components are never gathered on the driver.
+many partners is dealt to several tasks. Nodes of many documents and components of many nodes get their values by ``skew.lookup``. The pairs of
+step 6 are a join by token of two shuffled sides, which adaptive execution splits where a token has very many nodes.
+Links and components are never gathered on the driver.
 (Nodes of 64 bits: ten thousand million different texts have about three accidental equals.)
 
 Cases: null and empty texts have no set, link with nothing and are their own component; a
@@ -47,7 +49,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refweave.llm.common import cut, table
+from refweave.functions.lineage import fresh
 from refweave.operators.components import component_labels
+from refweave.operators.skew import lookup
 
 SHINGLE = 5
 PERCENT = 80
@@ -57,7 +61,9 @@ SALT = 64
 MOST = 4
 VERIFY_COST = 20.0
 PARTNERS = 2000
+#: A fixed filter of ids, and how many it tells apart; more are joined by a shuffle.
 FILTER_BITS = 1 << 25
+FILTER_IDS = FILTER_BITS // 8
 MAP_LONGS = 8
 BITS = [f"b{k}" for k in range(MAP_LONGS)]
 
@@ -190,13 +196,15 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
             np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
         if out.any():
             blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(out, CHUNKS)]
-            yield pd.DataFrame({"chunk": range(CHUNKS), "bits": blobs})
+            yield pd.DataFrame({"chunk": range(CHUNKS), "salt": int(out.sum(dtype=np.int64)) % SALT, "bits": blobs})
 
     def either(part: pd.DataFrame) -> pd.DataFrame:
         total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in part["bits"]])
         return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "bits": [zlib.compress(total.tobytes(), 1)]})
 
-    found = ids.select(F.col(ids.columns[0]).alias("id")).mapInPandas(bits, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
+    own = ids.select(F.col(ids.columns[0]).alias("id")).mapInPandas(bits, "chunk int, salt int, bits binary")
+    # In two levels, as there is a row of each chunk for each task.
+    found = own.groupBy("chunk", "salt").applyInPandas(either, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in found:
         out[r["chunk"] * (len(out) // CHUNKS) :][: len(out) // CHUNKS] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
@@ -204,18 +212,32 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents with the ids, and of a few others."""
+    """(node, tokens) of the documents with the ids, and of a few others. ``ids`` are checkpointed."""
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("t"))
+    schema = "node long, tokens binary"
+
+    def rows(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
+
+    if ids.count() > FILTER_IDS:  # a filter of fixed size would let nearly all pass
+
+        def build_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield rows(part["t"])
+
+        return named.join(ids.select(F.col(ids.columns[0]).alias("doc_id")), "doc_id", "left_semi").mapInPandas(build_all, schema)
+
     held = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))  # FILTER_BITS / 8 bytes
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             h = _mixed(part["doc_id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
             known = (held.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            sets = [shingle_set(t) for t in part["t"][known]]
-            yield pd.DataFrame({"node": [node_of(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
+            yield rows(part["t"][known])
 
     # One Python worker for each task: filter and sets in one pass.
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("t")).mapInPandas(build, "node long, tokens binary")
+    return named.mapInPandas(build, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,7 +276,7 @@ def _may_link(x: str, y: str) -> Column:
 def _sets_of(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The checkpointed sets of the nodes in pairs."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return cut(_sets(docs, text, nodes.join(named, "node").select("doc_id")))
+    return cut(_sets(docs, text, cut(nodes.join(named, "node").select("doc_id"))))
 
 
 def _near_bitmaps(x: str, y: str, sizes: Column) -> Column:
@@ -263,13 +285,17 @@ def _near_bitmaps(x: str, y: str, sizes: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * sizes
 
 
+def _needed(x: str, y: str) -> Column:
+    """The matches that a pair needs among its prefixes: common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the others."""
+    beyond = [F.ceil(F.col(f"{s}n") * PERCENT / 100) - F.col(f"{s}m") for s in (x, y)]
+    return F.ceil((F.col(f"{x}n") + F.col(f"{y}n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b, need), once a shared token: pairs of nodes with different labels that share a token and pass all filters, and the matches that they need."""
     x, y = rows.alias("x"), rows.alias("y")
-    # Common tokens up to the end of the prefix that ends first are all matches; the rest of that set bounds the
-    # others. The matches before a token, and those from it on, are no more than either prefix has shared ones.
-    beyond = [F.ceil(F.col(f"{s}.n") * PERCENT / 100) - F.col(f"{s}.m") for s in "xy"]
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9) - F.greatest(*beyond)
+    # The matches before a token, and those from it on, are no more than either prefix has shared ones.
+    need = _needed("x.", "y.")
     at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     pairs = x.join(y, apart & _may_link("x.", "y.") & (at_most >= need) & _near_bitmaps("x.", "y.", F.col("x.n") + F.col("y.n")))
@@ -301,9 +327,10 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter(F.col("b") != F.col("c"))
     same = known.join(repeated.select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
 
-    heads = shared.groupBy("token").agg(F.min(F.struct("own", "node", "n", "pos", "before")).alias("h")).select("token", "h")
-    stars = shared.join(heads, "token").filter(F.col("node") != F.col("h.node"))
-    stars = stars.filter(_may_link("", "h.")).select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("n").alias("an"), F.col("h.n").alias("bn")).distinct()
+    heads = shared.groupBy("token").agg(F.min(F.struct("own", "node", "n", "m", "pos", "before")).alias("h")).select("token", "h")
+    stars = shared.join(heads, "token").filter(F.col("node") != F.col("h.node")).filter(_may_link("", "h."))
+    stars = stars.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count("*").alias("matches"), F.first(_needed("", "h.")).alias("least"), F.first("n").alias("an"), F.first("h.n").alias("bn"))
+    stars = stars.filter(F.col("matches") >= F.col("least")).select("a", "b", "an", "bn")
     one, two = nodes.alias("one"), nodes.alias("two")
     stars = stars.join(one, F.col("a") == F.col("one.node")).join(two, F.col("b") == F.col("two.node"))
     stars = cut(stars.filter(_near_bitmaps("one.", "two.", F.col("an") + F.col("bn"))).select("a", "b"))
@@ -321,17 +348,24 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
         if not more.isEmpty():
             label = component_labels(links.union(more), "a", "b")
 
-    noded = measured.join(label.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    least = noded.filter(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "of")
-    out = noded.join(least, (F.col("label") == F.col("of")) & (F.col("n") > 0), "left")
+    # By node first, then by label: both have hubs (copies, and components of many texts).
+    by_node = measured.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    by_node = cut(by_node.join(label.withColumnRenamed("id", "node"), "node", "left").select("node", "rows", "doc_id", F.coalesce("label", "node").alias("label")))
+    sizes = by_node.agg(F.count("*").alias("nodes"), F.sum("rows").alias("rows")).first()
+    of_label = by_node.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("nodes"))
+    of_node = cut(lookup(by_node.select("node", "rows", "label"), of_label, "label", "nodes", sizes["nodes"]).select("node", "rows", "least"))
+    # Documents without words stand apart: they would be one node.
+    out = lookup(measured.filter(F.col("n") > 0).select("doc_id", "n", "node"), of_node, "node", "rows", sizes["rows"] or 0).select("doc_id", "n", "least")
+    out = out.union(measured.filter(F.col("n") <= 0).select("doc_id", "n", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with the least id of each component; of rows with the same id, one; rows without an id stay."""
     found = cut(components(docs.select("doc_id", text), text))
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    of = fresh(docs, "gone")
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(of)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
     repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
