@@ -6,7 +6,8 @@ another). ``source_targets`` shares ``share`` of all sizes among the sources by
 weights, under a cap of ``cap`` times the source's own size; what is above a cap is shared
 again by weight until nothing is. That fixed point is a water level: with the sources
 in the order of cap / weight, the first ones are filled to their caps and the others get
-weight * level, so running sums over the table of sources find it in one pass.
+weight * level. Up to ``BROADCAST_SOURCES`` sources, running sums over their table find it in one pass and one task; more are ranked
+by ranges, and the level rises by an aggregation a round until no further source is at its cap.
 
 A document is taken floor(rate) times, plus once more if a hash of the seed and the
 document, as a fraction of its range, is below the rest of rate = target / size. Reruns,
@@ -15,9 +16,13 @@ retries and other partitionings take the same copies.
 The table of sources is broadcast where counting it shows at most ``BROADCAST_SOURCES``
 rows; a larger one is joined by source with the documents' side salted.
 
+Each document's last copy is drawn independently, so a source's words are its target within a sampling error of at most half the root of its sum of squared
+sizes: a few hundredths with thousands of documents, up to a third with a few dozen.
+
 Cases: a null text has size 0; null sources are one source, the last in order; sources
 without words have target 0 and rate 0; null ids hash by their text; rows that are equal
-in id and text are taken alike; an empty table gives an empty result; other columns stay.
+in id and text are taken alike; ties don't matter; very long texts count whole; an empty table gives an empty result; other columns stay, but one named ``mix`` (by ``plan_mix``) or
+``copy`` (by ``emit_mix``) is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refweave.llm.common import n_words, table
+from refweave.llm.common import cut, n_words, table
+from refweave.operators.graph import vertex_ids
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -60,6 +66,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
 
 
+def many_source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The same as ``source_targets`` for any number of sources: no task holds them all."""
+    known = sizes.filter(F.col("source").isNotNull())
+    ranks = vertex_ids(known.select(F.col("source").alias("name"))).select(F.col("name").alias("ranked"), "id")
+    last = sizes.filter(F.col("source").isNull()).withColumn("id", F.lit(known.count()).cast("long"))  # a row at most
+    placed = known.join(ranks, F.col("source") == F.col("ranked")).drop("ranked").union(last.select(*known.columns, "id"))
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("id") % len(weights)).cast("int"))
+    weighted = cut(placed.select("source", "source_size", weight.alias("weight"), (cap * F.col("source_size")).alias("most")))
+    total = share * (weighted.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
+    level, before = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("weight") * level
+        found = weighted.agg(F.count_if(full).alias("full"), F.sum(F.when(full, F.col("most"))).alias("most"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if found["full"] == before or not found["weight"]:
+            break
+        level, before = (total - (found["most"] or 0.0)) / found["weight"], found["full"]
+    return weighted.select("source", "source_size", F.least(F.col("most"), F.col("weight") * level).alias("target") if found["weight"] else F.col("most").alias("target"))
+
+
 def fraction_of(key: Column, seed: int) -> Column:
     """A number in [0, 1) from the hash of the seed and the key."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) * F.lit(2.0**-53)
@@ -86,8 +111,10 @@ def plan_mix(
         F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(0), F.col(key))).otherwise(F.xxhash64(F.lit(1), F.col(text))).alias("id"),
     )
     sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("of"), "source_size", "target")
-    if targets.count() <= broadcast_sources:
+    sizes = cut(sizes)
+    few = sizes.count() <= broadcast_sources
+    targets = (source_targets if few else many_source_targets)(sizes, weights, share, cap).select(F.col("source").alias("of"), "source_size", "target")
+    if few:
         joined = own.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("of")), "left")
     else:
         salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
