@@ -12,15 +12,18 @@ wrongly reject at most ``risk`` of good documents in each stratum, with probabil
 1 - delta for all strata at once. The smallest safe cutoff of each rule is
 used; with too few labels none is safe and the rule rejects nothing.
 
+The bound takes the holdout for independent draws, so a text counts once, however many rows and labels have it. Near copies are different texts and count each;
+where the holdout has many of them, drop them from it first.
+
 Everything is DataFrame functions. Counting stays within the row: trigrams are
 hashed, sorted with their positions and compared with their neighbours in arrays, so texts are read once and
 never shuffled; the counts, a few numbers for each row, are checkpointed for both of their uses. The
 holdout joins these small rows; the table of cutoffs has at most a row for each stratum and is broadcast.
 
 Cases: null and empty texts have no words and counts of 0, and fail the base rule; labels
-of null quality or without a document are no evidence; a document with several labels counts once
-for each; repeated rows and ids give a result row each; an empty table gives an empty
-result; other columns are ignored by the query and kept by ``with_counts``.
+of null quality or without a document are no evidence; equal texts are evidence once if any label of one is good; repeated rows and ids give a result row each; a ratio equal
+to a cutoff passes; very long texts count whole; an empty table gives an empty
+result; other columns are ignored by the query and kept by ``with_counts``, but one named ``counts`` is replaced.
 """
 
 from __future__ import annotations
@@ -149,7 +152,7 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def safe_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum with a good document: its safe cutoff of each rule, or null. ``holdout``: stratum and a column for each rule, one row for each good labelled document."""
+    """One row for each stratum with a good document: its safe cutoff of each rule, or null. ``holdout``: stratum and a column for each rule, one row for each good labelled text."""
     counts = [F.count_if(F.col(r) > c).alias(f"{r}_{k}") for r in RULES for k, c in enumerate(CUTOFFS)]
     found = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
     level = delta / (len(STRATA) * len(RULES) * len(CUTOFFS))
@@ -162,8 +165,8 @@ def safe_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("labelled"))
-    measured = cut(with_counts(docs).select("doc_id", "counts")).select("doc_id", "counts", stratum(F.col("counts.n_words")).alias("stratum"), *[v.alias(r) for r, v in rules().items()])
-    holdout = measured.join(good, F.col("doc_id") == F.col("labelled")).select("stratum", *RULES)
+    measured = cut(with_counts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "counts")).select("doc_id", "text_hash", "counts", stratum(F.col("counts.n_words")).alias("stratum"), *[v.alias(r) for r, v in rules().items()])
+    holdout = measured.join(good, F.col("doc_id") == F.col("labelled")).select("text_hash", "stratum", *RULES).dropDuplicates(["text_hash"])
     cutoffs = safe_cutoffs(holdout).withColumnRenamed("stratum", "of")  # a row for each stratum: a fixed few
     judged = measured.join(F.broadcast(cutoffs), F.col("stratum") == F.col("of"), "left")
     failed = F.lit(False)
@@ -201,13 +204,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
 win AS (SELECT r, unnest(range(0, len(w) - 2)) AS i, w FROM d WHERE len(w) > 3),
 rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i + 1], w[i + 2], w[i + 3]) AS n FROM win),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep CROSS JOIN (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY r),
-c AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+c AS (SELECT d.r, doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(list_distinct(w)) AS n_distinct
   FROM d LEFT JOIN cov ON d.r = cov.r),
 m AS (SELECT *, {bands} AS stratum, {", ".join(f"{v} AS {r}" for r, v in ratios.items())} FROM c),
-held AS (SELECT m.* FROM m JOIN labels ON m.doc_id = labels.doc_id WHERE labels.quality = 1),
+held AS (SELECT DISTINCT t, stratum, {", ".join(RULES)} FROM m JOIN labels ON m.doc_id = labels.doc_id WHERE labels.quality = 1),
 long AS ({long}),
 cnt AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (WHERE v > cut) AS k FROM long CROSS JOIN (VALUES {cuts}) AS g(cut) GROUP BY ALL),
 safe AS (SELECT stratum, rule, min(cut) AS cut FROM cnt WHERE k < n * {p} AND {tail} <= {level} GROUP BY ALL),
