@@ -16,7 +16,7 @@ the plan, so the document side is a single scan without any shuffle.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows and ids,
 null ids and ties give one result row for each input row; an empty table gives an empty
-result; further columns are ignored by the query and kept by ``scan_licenses``.
+result; further columns are ignored by the query and kept by ``scan_licenses``, but one named ``license`` is replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ retry), then the method's own: url (scheme and rest), account (a cue such as "ib
 Spans are code points, with an exclusive end.
 
 Cases: a null or empty text has no spans; repeated rows and ids give a row each; an empty
-table gives an empty result; other columns stay.
+table gives an empty result; overlapping spans of different kinds are all listed; very long texts are whole; other columns stay, but one named ``pii`` is replaced.
 """
 
 from __future__ import annotations

@@ -10,11 +10,12 @@ counted by label in ``BINS`` equal bins of the score, and pooling adjacent viola
 bins gives a rising step function, read off by interpolation.
 
 All labelled training rows count in every sum. The statistics of all rows, a few
-numbers each, are checkpointed once; texts are read once and never shuffled.
+numbers each, are checkpointed once, and so are those of the training rows with their labels; texts are read once and never shuffled.
 
 Cases: a null or empty text has all statistics 0 and is scored as such; labels that are null or lack
 their document are no evidence; without both classes every score is the share of label 1
-(0.5 without labels); several labels of a document count each; repeated rows and ids give a row each; other columns are ignored.
+(0.5 without labels); several labels of a document count each; repeated rows and ids give a row each; rows of equal scores are in one bin;
+very long texts are whole (a text is in memory at a time); an empty table gives an empty result; other columns are ignored, and kept by ``with_statistics``, but one named ``statistics`` is replaced.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(with_statistics(docs).select("doc_id", "statistics"))
     labels = table(spark, sf_dir, "labels").filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("labelled"), (F.col("quality") > 0).cast("int").alias("y"))
     held_out = bucket_of(F.col("doc_id"), 3) == 1
-    model = fit(measured.filter(~held_out).join(labels, F.col("doc_id") == F.col("labelled")).select("statistics", "y"))
+    model = fit(cut(measured.filter(~held_out).join(labels, F.col("doc_id") == F.col("labelled")).select("statistics", "y")))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

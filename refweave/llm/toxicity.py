@@ -20,7 +20,8 @@ travels with it has at most N_FEATURES weights.
 
 Cases: a null or empty text has no features and gets the score of the intercept; labels
 that are null or lack their document are no evidence, and without both classes every score is the share of toxic
-labels (0 if none); several labels of a document count each; repeated rows and ids give a row each; other columns stay.
+labels (0 if none); several labels of a document count each; repeated rows and ids give a row each; features of equal evidence are taken in the order of their names; very long texts are whole (a text is
+in memory at a time); an empty table gives an empty result; other columns stay, but one named ``toxicity`` is replaced.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("y"))
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    return docs.join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "y")
+    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "y")
 
 
 def select_features(train: DataFrame, n_features: int = N_FEATURES) -> tuple[list[str], int, int]:
