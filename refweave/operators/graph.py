@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.functions.lineage import cut
+from refweave.operators.communities import communities  # noqa: F401
 from refweave.operators.components import component_labels
+from refweave.operators.layout import layout  # noqa: F401
 
 
 def valid_keys(df: DataFrame, key: str = "doi") -> DataFrame:
@@ -81,105 +81,6 @@ def cpm_quality(edges: DataFrame, labels: DataFrame, resolution: float) -> DataF
     return sizes.join(inner, "label", "left").agg(F.sum(F.coalesce("e", F.lit(0)) - resolution * F.col("n") * (F.col("n") - 1)).alias("quality"))
 
 
-#: Gains below this are taken for rounding errors. Moves that a community takes part in at once; the others wait for the next round.
-_LEAST_GAIN, _AT_ONCE = 1e-9, 64
-
-
-def _moves(links: DataFrame, now: DataFrame, g: float, salt: int) -> DataFrame | None:
-    """(moved, d): moves of the nodes (name, s: vertices in it, label) that together raise the quality, or None if no single move does."""
-    sizes = now.groupBy("label").agg(F.sum("s").alias("n"))
-    to = links.join(now.select(F.col("name").alias("dst"), F.col("label").alias("d")), "dst").groupBy(F.col("src").alias("name"), "d").agg(F.sum("w").alias("w"))
-    stay = to.select("name", F.col("d").alias("label"), F.col("w").alias("w_own"))
-    own = now.join(stay, ["name", "label"], "left").select("name", "label", "s", F.coalesce("w_own", F.lit(0)).alias("w_own"))
-    options = to.join(own, "name").filter(F.col("d") != F.col("label"))
-    options = options.join(sizes.select(F.col("label").alias("d"), F.col("n").alias("n_d")), "d").join(sizes.withColumnRenamed("n", "n_c"), "label")
-    gain = F.col("w") - F.col("w_own") - 2 * g * F.col("s") * (F.col("n_d") - (F.col("n_c") - F.col("s")))
-    options = cut(options.select("name", "s", "label", "d", gain.alias("gain")).filter(F.col("gain") > _LEAST_GAIN))
-    if options.isEmpty():
-        return None
-    # A community gives or takes in a round, never both, so moves meet only in a community that they share; each pair there costs at most 2 g s s'.
-    able = options.filter((F.xxhash64(F.lit(salt), "label") % 2 == 0) & (F.xxhash64(F.lit(salt), "d") % 2 != 0))
-    best = able.groupBy("name", "s", "label").agg(F.max_by("d", F.struct("gain", "d")).alias("d"), F.max("gain").alias("gain"))
-    for side in ("d", "label"):
-        first = Window.partitionBy(side).orderBy(F.desc("gain"), "name")
-        best = best.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= _AT_ONCE).drop("rank")
-        best = best.withColumn(f"before_{side}", F.sum("s").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"))
-    moves = cut(best.filter(F.col("gain") - 2 * g * F.col("s") * (F.col("before_d") + F.col("before_label")) > _LEAST_GAIN).select(F.col("name").alias("moved"), "d"))
-    return options.orderBy(F.desc("gain"), "name", "d").limit(1).select(F.col("name").alias("moved"), "d") if moves.isEmpty() else moves
-
-
-def _local_moving(links: DataFrame, now: DataFrame, g: float) -> tuple[DataFrame, int]:
-    """The nodes (name, s, label) after moves until none is left, and the number of rounds with moves."""
-    rounds = 0
-    while (moves := _moves(links, now, g, rounds)) is not None:
-        now = cut(now.join(moves, F.col("name") == F.col("moved"), "left").select("name", "s", F.coalesce("d", "label").alias("label")))
-        rounds += 1
-    return now, rounds
-
-
-def communities(edges: DataFrame, resolutions: list[float]) -> DataFrame:
-    """(resolution, name, label): local moving for the constant Potts model, from singletons.
-
-    Vertices move until no move of one gains; then the communities become the nodes of a smaller
-    graph and move likewise, until neither level has a move left. Every round raises the
-    quality, so this ends. Vertices of different components never share a community.
-    """
-    both = cut(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").union(edges.filter(F.col("src") != F.col("dst")).select(F.col("dst"), F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("w")))
-    vertices = cut(degrees(edges).select("name"))
-    found = []
-    for g in resolutions:
-        now = cut(vertices.select("name", F.lit(1).cast("long").alias("s"), F.col("name").alias("label")))
-        while True:
-            now, _ = _local_moving(both, now, g)
-            of_src, of_dst = now.select(F.col("name").alias("src"), F.col("label").alias("a")), now.select(F.col("name").alias("dst"), F.col("label").alias("b"))
-            links = cut(both.join(of_src, "src").join(of_dst, "dst").filter(F.col("a") != F.col("b")).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-            nodes = cut(now.groupBy(F.col("label").alias("name")).agg(F.sum("s").alias("s")).withColumn("label", F.col("name")))
-            nodes, rounds = _local_moving(links, nodes, g)
-            if not rounds:
-                break
-            now = cut(now.join(nodes.select(F.col("name").alias("label"), F.col("label").alias("of")), "label").select("name", "s", F.col("of").alias("label")))
-        found.append(now.select(F.lit(g).alias("resolution"), "name", "label"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
-
-
-def layout(edges: DataFrame, rounds: int = 500, seed: int = 1, cell: float = 1.0) -> DataFrame:
-    """(name, x, y): a force-directed layout with attraction along edges and repulsion from the centres of mass of grid cells around.
-
-    A cell is ``cell`` or a 32nd of the start's side, whichever is more; moves and forces scale with it, so the way that a
-    vertex can go grows with the layout. The start is a hash of the name and the seed, so the result is reproducible. Each round is two aggregations and equi-joins.
-    """
-    flat = undirected(edges.filter(F.col("src") != F.col("dst")))
-    both = cut(flat.union(flat.select(F.col("dst"), F.col("src"))))
-    names = degrees(edges).select("name", "degree")
-    side = math.sqrt(max(1, names.count()))
-    cell = max(cell, side / 32)
-
-    def start(k: int):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("name")), F.lit(1_000_003)) / 1_000_003 - 0.5) * side
-
-    now = cut(names.withColumns({"x": start(1), "y": start(2)}))
-    for r in range(rounds):
-        pull = both.join(now.select(F.col("name").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy")), "dst").groupBy(F.col("src").alias("name")).agg(F.avg("ox").alias("ax"), F.avg("oy").alias("ay"))
-        placed = now.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-        cells = placed.groupBy("cx", "cy").agg(F.count("*").alias("m"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        near = placed.withColumn("o", F.explode(offsets)).select("name", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).join(cells, ["cx", "cy"])
-        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        push = near.groupBy("name").agg(F.sum(F.col("m") * dx / (dx * dx + dy * dy + 0.01 * cell * cell)).alias("px"), F.sum(F.col("m") * dy / (dx * dx + dy * dy + 0.01 * cell * cell)).alias("py"))
-        step = 0.5 * (1 - r / rounds)
-        moved = now.join(pull, "name", "left").join(push, "name", "left")
-
-        def to(c: str, a: str, p: str):
-            force = F.coalesce(F.col(a) - F.col(c), F.lit(0.0)) + 0.1 * F.coalesce(F.col(p), F.lit(0.0))
-            return (F.col(c) + step * F.greatest(F.lit(-cell), F.least(F.lit(cell), force))).alias(c)
-
-        now = cut(moved.select("name", "degree", to("x", "ax", "px"), to("y", "ay", "py")))
-    return now.select("name", "x", "y")
-
-
 def tfidf(terms: DataFrame, group: str, term: str) -> DataFrame:
     """(group, term, tf, score): characteristic terms of each group; score = tf * ln(groups / groups with the term)."""
     tf = terms.groupBy(group, term).agg(F.count("*").alias("tf"))

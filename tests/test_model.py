@@ -201,3 +201,36 @@ def test_pipeline():
     each = Pipeline().add_each(lambda part, base: part + base, {"f1": {"part": "x"}, "f2": {"part": "y", "base": ("step", "f1")}})
     assert each.execute(["f2"], {"base": "z"}) == {"f2": "yxz"}
     assert '"pair" -> "low"' in made("a").dot(["total"], {"x"})
+
+
+def test_layout_in_rounds_of_joins_equals_one_task(spark):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(60)], "src long, dst long")
+    one_task, rounds = ({r.name: (r.x, r.y) for r in graph.layout(edges, rounds=5, in_memory=k).collect()} for k in (10**6, 0))
+    assert one_task.keys() == rounds.keys()
+    assert all(one_task[v] == pytest.approx(rounds[v], rel=1e-6, abs=1e-6) for v in one_task)
+    assert graph.layout(edges.limit(0), rounds=3).count() == graph.layout(edges.limit(0), rounds=3, in_memory=0).count() == 0
+
+
+@pytest.mark.parametrize("in_memory", [10**6, 0])
+def test_communities_are_connected_and_stable(spark, in_memory):
+    rng = random.Random(7)
+    # A chain of cliques, and vertices that hold far parts together only by resolution.
+    pairs = [(a, b) for k in range(0, 24, 6) for a in range(k, k + 6) for b in range(a + 1, k + 6) if rng.random() < 0.8] + [(k, k + 6) for k in range(0, 18, 6)] + [(30, 30), (5, 5)]
+    label = {r.name: r.label for r in graph.communities(spark.createDataFrame(pairs, "src long, dst long"), [0.1], in_memory).collect()}
+    assert label.keys() == {v for e in pairs for v in e}
+
+    def quality(of):
+        sizes = Counter(of.values())
+        return sum(a != b and of[a] == of[b] for a, b in pairs) - 0.1 * sum(n * (n - 1) for n in sizes.values())
+
+    for v in label:
+        for d in set(label.values()):
+            assert quality(label | {v: d}) <= quality(label) + 1e-6
+    for c in set(label.values()):
+        own = {v for v in label if label[v] == c}
+        assert c in own
+        reached = {min(own)}
+        while more := {b for a, b in pairs + [(b, a) for a, b in pairs] if a in reached and b in own} - reached:
+            reached |= more
+        assert reached == own
