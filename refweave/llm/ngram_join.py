@@ -60,7 +60,7 @@ CHUNKS = 64
 SALT = 64
 MOST = 4
 VERIFY_COST = 20.0
-PARTNERS = 2000
+PARTNERS = 250
 #: A fixed filter of ids, and how many it tells apart; more are joined by a shuffle.
 FILTER_BITS = 1 << 25
 FILTER_IDS = FILTER_BITS // 8
