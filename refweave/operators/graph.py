@@ -9,6 +9,7 @@ from refweave.functions.lineage import cut
 from refweave.operators.communities import communities  # noqa: F401
 from refweave.operators.components import component_labels
 from refweave.operators.layout import layout  # noqa: F401
+from refweave.operators.skew import lookup
 
 
 def valid_keys(df: DataFrame, key: str = "doi") -> DataFrame:
@@ -33,6 +34,25 @@ def vertex_ids(valid: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(shift), F.col("part") == F.col("of")).select("name", (F.col("rank") - 1 + F.col("shift")).cast("long").alias("id"))
 
 
+def edges_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges with src_id and dst_id. Names with very many edges are looked up by broadcast, others by a shuffle."""
+    total = max(1, edges.count())
+    for side in ("src", "dst"):
+        counted = ids.join(edges.groupBy(F.col(side).alias("name")).agg(F.count("*").alias("n")), "name")
+        edges = lookup(edges, counted.select(F.col("name").alias(side), F.col("id").alias(f"{side}_id"), "n"), side, "n", total)
+    return edges
+
+
+def citation_network(database: DataFrame, references: DataFrame, literal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The giant component of the citations within the database: (name, id) of its vertices, with ids among all valid keys, and (src, dst, src_id, dst_id) of its edges."""
+    valid = valid_keys(database)
+    ids = cut(vertex_ids(valid))
+    edges = cut(citation_edges(references, ids.select("name"), literal=literal))
+    giant = cut(giant_component(edges).select("name"))
+    inside = edges.join(giant.select(F.col("name").alias("src")), "src", "left_semi")
+    return ids.join(giant, "name", "left_semi"), edges_by_id(inside, ids)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(name, degree): in and out together; a loop counts twice."""
     return edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
@@ -66,10 +86,29 @@ def stage_stats(valid: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def community_table(labels: DataFrame) -> DataFrame:
-    """(name, community_id, community_size) from (name, label): numbers from 0 by falling size, then label."""
+    """(name, community_id, community_size) from (name, label): numbers from 0 by falling size, then label.
+
+    Communities are dealt by ranges of both, ranked within each, and shifted by the numbers of the ranges before, so no task sorts all.
+    """
     sizes = labels.groupBy("label").agg(F.count("*").alias("community_size"))
-    numbered = sizes.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("community_size"), "label")) - 1)  # a row for each community
-    return labels.join(numbered, "label").select("name", "community_id", "community_size")
+    ranged = cut(sizes.repartitionByRange(F.desc("community_size"), "label").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").count()
+    shift = counts.select(F.col("part").alias("of"), (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("shift"))  # a row for each partition
+    ranked = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("community_size"), "label")))
+    numbered = cut(ranked.join(F.broadcast(shift), F.col("part") == F.col("of")).select("label", "community_size", (F.col("rank") - 1 + F.col("shift")).cast("long").alias("community_id")))
+    total = numbered.agg(F.sum("community_size").alias("n")).first()["n"] or 0
+    found = lookup(labels, numbered.withColumn("n", F.col("community_size")), "label", "n", total)
+    return found.select("name", "community_id", "community_size")
+
+
+def sorted_members(table: DataFrame) -> DataFrame:
+    """The community table in the order of community_id and name."""
+    return table.orderBy("community_id", "name")
+
+
+def community_counts(table: DataFrame) -> DataFrame:
+    """(communities, members): how many there are."""
+    return table.agg(F.count_distinct("community_id").alias("communities"), F.count("*").alias("members"))
 
 
 def cpm_quality(edges: DataFrame, labels: DataFrame, resolution: float) -> DataFrame:

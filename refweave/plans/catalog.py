@@ -6,10 +6,11 @@ documents with equal texts are copies of one record, labels are what is already
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as X
+from refweave.functions.lineage import cut
 from refweave.operators import graph, unify
 from refweave.operators.components import component_labels
 from refweave.operators.references import keys_to_query
@@ -33,28 +34,29 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# A part cites another if an order has the first on line 1, the second on a later line. The queries whose SQL has quantities of 45 or more keep them; those named _whole, communities_cpm and layout_xy read all lines.
-_SOME, _ALL = "l_quantity >= 45", "true"
-
-
-def _edges(spark: SparkSession, sf_dir: str, keep: str = _SOME) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").filter(keep).select("l_orderkey", "l_linenumber", "l_partkey")
+# A part cites another if an order has the first on line 1, the second on a later line.
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = lines.filter("l_linenumber = 1").alias("a"), lines.filter("l_linenumber > 1").alias("b")
     return a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
+
+
 _E = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_linenumber = 1 AND b.l_linenumber > 1 AND a.l_quantity >= 45 AND b.l_quantity >= 45)"""
+  WHERE a.l_linenumber = 1 AND b.l_linenumber > 1)"""
 _C = f"""RECURSIVE {_E},
 u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-r(v, l) AS (SELECT a, a FROM u UNION SELECT u.b, r.l FROM r JOIN u ON r.v = u.a WHERE r.l < u.b),
-c AS (SELECT v, min(l) AS label FROM r GROUP BY v)"""
+c(v, label) USING KEY (v) AS (SELECT DISTINCT a, a FROM u
+  UNION (SELECT u.b, min(c.label) FROM c JOIN u ON c.v = u.a JOIN recurring.c AS o ON o.v = u.b WHERE c.label < o.label GROUP BY u.b))"""
 _G = f"""{_C}, best AS (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"""
 
 
 @query(f"WITH {_E} SELECT * FROM e")
-def citation_edges(spark, sf_dir, keep=_SOME):
-    lines = _t(spark, sf_dir, "lineitem").filter(keep)
+def citation_edges(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem")
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").cast("string").alias("citing_doi"))
     cited = lines.filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("cited_dois"))
     references = first.join(cited, F.col("l_orderkey") == F.col("o"))
@@ -64,32 +66,82 @@ def citation_edges(spark, sf_dir, keep=_SOME):
 
 @query("SELECT p_partkey AS name, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part")
 def vertex_ids(spark, sf_dir):
-    return graph.vertex_ids(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")))
+    return graph.vertex_ids(_parts(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_E}, ids AS (SELECT p_partkey AS name, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part)
+SELECT a.id AS src_id, b.id AS dst_id FROM e JOIN ids a ON e.src = a.name JOIN ids b ON e.dst = b.name"""
+)
+def edges_by_id(spark, sf_dir):
+    return graph.edges_by_id(_edges(spark, sf_dir), graph.vertex_ids(_parts(spark, sf_dir))).select("src_id", "dst_id")
 
 
 @query(f"WITH {_E} SELECT name, count(*) AS degree FROM (SELECT src AS name FROM e UNION ALL SELECT dst FROM e) GROUP BY name")
-def vertex_degree(spark, sf_dir, keep=_SOME):
-    return graph.degrees(_edges(spark, sf_dir, keep))
+def vertex_degree(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir))
 
 
 @query(f"WITH {_E} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
-def isolated_vertices(spark, sf_dir, keep=_SOME):
-    return graph.isolated(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir, keep))
+def isolated_vertices(spark, sf_dir):
+    return graph.isolated(_parts(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @query(f"WITH {_C} SELECT v AS id, label FROM c")
-def components(spark, sf_dir, keep=_SOME):
-    return component_labels(_edges(spark, sf_dir, keep))
+def components(spark, sf_dir):
+    return component_labels(_edges(spark, sf_dir))
 
 
 @query(f"WITH {_G} SELECT v AS name, label FROM c WHERE label = (SELECT label FROM best)")
-def giant_component(spark, sf_dir, keep=_SOME):
-    return graph.giant_component(_edges(spark, sf_dir, keep))
+def giant_component(spark, sf_dir):
+    return graph.giant_component(_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_G}, ids AS (SELECT p_partkey AS name, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part)
+SELECT a.id AS src_id, b.id AS dst_id FROM e JOIN c ON e.src = c.v JOIN ids a ON e.src = a.name JOIN ids b ON e.dst = b.name WHERE c.label = (SELECT label FROM best)"""
+)
+def citation_network(spark, sf_dir):
+    """The edges of the whole composite: valid keys, edges among them, ids, giant component."""
+    lines = _t(spark, sf_dir, "lineitem")
+    first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").cast("string").alias("citing_doi"))
+    cited = lines.filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("cited_dois"))
+    # Ids are ranks of names as text; the digits in front make that the order of the numbers.
+    wide = lambda c: F.lpad(c, 12, "0")
+    references = first.join(cited, F.col("l_orderkey") == F.col("o")).select(wide(F.col("citing_doi")).alias("citing_doi"), F.transform("cited_dois", wide).alias("cited_dois"))
+    database = _t(spark, sf_dir, "part").select(wide(F.col("p_partkey").cast("string")).alias("doi"))
+    return graph.citation_network(database, references)[1].select("src_id", "dst_id")
+
+
+# A graph of many components: each document cites the copy of its text before it.
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
+    keyed = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
+    return keyed.select(F.col("doc_id").alias("src"), before.alias("dst")).filter(F.col("dst").isNotNull())
+
+
+@query("SELECT id, label FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS label, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1")
+def copy_components(spark, sf_dir):
+    return component_labels(_copies(spark, sf_dir))
+
+
+@query("SELECT doc_id AS name FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n = 1")
+def isolated_documents(spark, sf_dir):
+    return graph.isolated(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), _copies(spark, sf_dir))
+
+
+@query(
+    """WITH g AS (SELECT min(doc_id) AS label, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) - 1 AS id FROM g),
+d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS label FROM documents)
+SELECT doc_id AS name, id AS community_id, n AS community_size FROM d JOIN k USING (label)"""
+)
+def copy_community_table(spark, sf_dir):
+    return graph.community_table(component_labels(_copies(spark, sf_dir)).withColumnRenamed("id", "name"))
 
 
 @query(f"WITH {_E} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e")
-def undirected_projection(spark, sf_dir, keep=_SOME):
-    return graph.undirected(_edges(spark, sf_dir, keep))
+def undirected_projection(spark, sf_dir):
+    return graph.undirected(_edges(spark, sf_dir))
 
 
 @query(
@@ -98,18 +150,22 @@ SELECT 'all' AS stage, (SELECT count(*) FROM part) AS vertices, (SELECT count(*)
 UNION ALL SELECT 'connected', (SELECT count(*) FROM c), (SELECT count(*) FROM e)
 UNION ALL SELECT 'giant', (SELECT count(*) FROM g), (SELECT count(*) FROM e WHERE src IN (SELECT v FROM g))"""
 )
-def graph_stage_stats(spark, sf_dir, keep=_SOME):
-    return graph.stage_stats(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), _edges(spark, sf_dir, keep))
+def graph_stage_stats(spark, sf_dir):
+    return graph.stage_stats(_parts(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @query(
     f"""WITH {_C}, s AS (SELECT label, count(*) AS n FROM c GROUP BY label),
 k AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) - 1 AS id FROM s)
-SELECT v AS name, id::INT AS community_id, n AS community_size FROM c JOIN k USING (label)"""
+SELECT v AS name, id::BIGINT AS community_id, n AS community_size FROM c JOIN k USING (label)"""
 )
-def community_table(spark, sf_dir, keep=_SOME):
-    labels = component_labels(_edges(spark, sf_dir, keep)).withColumnRenamed("id", "name")
-    return graph.community_table(labels)
+def community_table(spark, sf_dir):
+    return graph.community_table(component_labels(_edges(spark, sf_dir)).withColumnRenamed("id", "name"))
+
+
+@query(f"WITH {_C} SELECT count(DISTINCT label) AS communities, count(*) AS members FROM c")
+def community_counts(spark, sf_dir):
+    return graph.community_counts(graph.community_table(component_labels(_edges(spark, sf_dir)).withColumnRenamed("id", "name")))
 
 
 @query(
@@ -117,20 +173,33 @@ def community_table(spark, sf_dir, keep=_SOME):
 i AS (SELECT a.label, count(*) AS n FROM e JOIN c a ON e.src = a.v JOIN c b ON e.dst = b.v AND a.label = b.label GROUP BY a.label)
 SELECT round(sum(coalesce(i.n, 0) - 0.05::DOUBLE * s.n * (s.n - 1)), 6) AS quality FROM s LEFT JOIN i USING (label)"""
 )
-def cpm_quality(spark, sf_dir, keep=_SOME):
-    edges = _edges(spark, sf_dir, keep)
+def cpm_quality(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
     labels = component_labels(edges).withColumnRenamed("id", "name")
     return graph.cpm_quality(edges, labels, 0.05).select(F.round("quality", 6).alias("quality"))
 
 
 @query()
 def communities_cpm(spark, sf_dir):
-    return graph.communities(_edges(spark, sf_dir, _ALL), [0.05])
+    return graph.communities(_edges(spark, sf_dir), [0.05])
+
+
+@query(f"""WITH {_E} SELECT 0.05::DOUBLE AS resolution, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS members, true AS above_single, true AS connected""")
+def community_invariants(spark, sf_dir):
+    """That the communities found have a quality over that of single vertices, and that each is connected."""
+    edges = _edges(spark, sf_dir)
+    found = cut(graph.communities(edges, [0.05]).select("name", "label"))
+    quality = graph.cpm_quality(edges, found, 0.05).first()["quality"]
+    a, b = found.select(F.col("name").alias("src"), F.col("label").alias("a")), found.select(F.col("name").alias("dst"), F.col("label").alias("b"))
+    inside = edges.join(a, "src").join(b, "dst").filter(F.col("a") == F.col("b")).select("src", "dst")
+    parts = found.join(component_labels(inside).select(F.col("id").alias("name"), F.col("label").alias("part")), "name", "left").withColumn("part", F.coalesce("part", "name"))
+    whole = parts.agg(F.count("*").alias("members"), F.count_distinct("label").alias("n"), F.count_distinct("label", "part").alias("k"))
+    return whole.select(F.lit(0.05).alias("resolution"), "members", F.lit(quality > 0).alias("above_single"), (F.col("n") == F.col("k")).alias("connected"))
 
 
 @query()
 def layout_xy(spark, sf_dir):
-    edges = _edges(spark, sf_dir, _ALL)
+    edges = _edges(spark, sf_dir)
     giant = graph.giant_component(edges).select(F.col("name").alias("src"))
     return graph.layout(edges.join(giant, "src", "left_semi"))
 
@@ -187,87 +256,22 @@ def drift_check(spark, sf_dir):
     return unify.symmetric_difference(_t(spark, sf_dir, "labels").filter("quality = 1"), _t(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id")
 
 
-@query(
-    """WITH w AS (SELECT doc_id, quality + 10 AS v FROM labels WHERE doc_id % 3 = 0), o AS (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 2 = 0)
-SELECT coalesce(w.doc_id, o.doc_id) AS doc_id, CASE WHEN w.doc_id IS NOT NULL THEN w.v ELSE o.v END AS v FROM w FULL JOIN o ON w.doc_id = o.doc_id"""
-)
-def merge_precedence(spark, sf_dir):
-    labels = _t(spark, sf_dir, "labels")
-    winner = labels.filter("doc_id % 3 = 0").select("doc_id", (F.col("quality") + 10).alias("v"))
-    return unify.merge_precedence(winner, labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("v")), "doc_id", "v")
-
-
 @query(
     """SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::BIGINT ELSE d.n_chars::BIGINT END AS v
 FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id"""
 )
-def merge_precedence_whole(spark, sf_dir):
+def merge_precedence(spark, sf_dir):
     winner = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
     return unify.merge_precedence(winner, _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("v")), "doc_id", "v")
 
 
-@query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem WHERE l_quantity >= 45 GROUP BY l_orderkey")
-def adjacency_lists(spark, sf_dir, keep=_SOME):
-    lines = _t(spark, sf_dir, "lineitem").filter(keep).select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
+@query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem GROUP BY l_orderkey")
+def adjacency_lists(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
     listed = lines.groupBy("o").agg(unify.ordered_list(F.col("l_partkey").cast("string"), F.col("l_partkey")).alias("cited"))
     return listed.withColumn("first", F.get("cited", F.lit(0)))
 
 
-_W = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_linenumber = 1 AND b.l_linenumber > 1)"""
-
-
-@query(f"WITH {_W} SELECT * FROM e")
-def citation_edges_whole(spark, sf_dir):
-    return citation_edges(spark, sf_dir, _ALL)
-
-
-@query(f"WITH {_W} SELECT name, count(*) AS degree FROM (SELECT src AS name FROM e UNION ALL SELECT dst FROM e) GROUP BY name")
-def vertex_degree_whole(spark, sf_dir):
-    return vertex_degree(spark, sf_dir, _ALL)
-
-
-@query(f"WITH {_W} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
-def isolated_vertices_whole(spark, sf_dir):
-    return isolated_vertices(spark, sf_dir, _ALL)
-
-
-@query(f"WITH {_W} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e")
-def undirected_projection_whole(spark, sf_dir):
-    return undirected_projection(spark, sf_dir, _ALL)
-
-
-@query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem GROUP BY l_orderkey")
-def adjacency_lists_whole(spark, sf_dir):
-    return adjacency_lists(spark, sf_dir, _ALL)
-
-
-# Over all lines the recursive SQL is too slow; tests compare these with union-find.
-@query()
-def components_whole(spark, sf_dir):
-    return components(spark, sf_dir, _ALL)
-
-
-@query()
-def giant_component_whole(spark, sf_dir):
-    return giant_component(spark, sf_dir, _ALL)
-
-
-@query()
-def graph_stage_stats_whole(spark, sf_dir):
-    return graph_stage_stats(spark, sf_dir, _ALL)
-
-
-@query()
-def community_table_whole(spark, sf_dir):
-    return community_table(spark, sf_dir, _ALL)
-
-
-@query()
-def cpm_quality_whole(spark, sf_dir):
-    return cpm_quality(spark, sf_dir, _ALL)
-
-
 @query("SELECT l_orderkey AS o, l_partkey AS part, l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY ALL")
 def explode_zip(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("x"))

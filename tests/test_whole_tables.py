@@ -30,12 +30,12 @@ def _rows(spark, tables, name):
 def test_graph_queries_read_all_lines(spark, tables):
     _, lines, edges = tables
     degree = Counter(v for e in edges for v in e)
-    assert Counter(_rows(spark, tables, "citation_edges_whole")) == Counter(edges)
-    assert dict(_rows(spark, tables, "vertex_degree_whole")) == degree
-    assert {r[0] for r in _rows(spark, tables, "isolated_vertices_whole")} == set(range(1, 60)) - set(degree)
-    assert set(_rows(spark, tables, "undirected_projection_whole")) == {(min(e), max(e)) for e in edges}
+    assert Counter(_rows(spark, tables, "citation_edges")) == Counter(edges)
+    assert dict(_rows(spark, tables, "vertex_degree")) == degree
+    assert {r[0] for r in _rows(spark, tables, "isolated_vertices")} == set(range(1, 60)) - set(degree)
+    assert set(_rows(spark, tables, "undirected_projection")) == {(min(e), max(e)) for e in edges}
     want = {o: sorted({p for k, _, p, _ in lines if k == o}) for o in range(20)}
-    assert {o: list(map(int, c)) for o, c, _ in _rows(spark, tables, "adjacency_lists_whole")} == want
+    assert {o: list(map(int, c)) for o, c, _ in _rows(spark, tables, "adjacency_lists")} == want
 
 
 def test_components_of_all_lines_against_union_find(spark, tables):
@@ -53,12 +53,12 @@ def test_components_of_all_lines_against_union_find(spark, tables):
     label = {v: find(v) for v in parent}
     sizes = Counter(label.values())
     best = min(sizes, key=lambda c: (-sizes[c], c))
-    assert dict(_rows(spark, tables, "components_whole")) == label
-    assert dict(_rows(spark, tables, "giant_component_whole")) == {v: c for v, c in label.items() if c == best}
+    assert dict(_rows(spark, tables, "components")) == label
+    assert dict(_rows(spark, tables, "giant_component")) == {v: c for v, c in label.items() if c == best}
     inside = sum(label[a] == best for a, _ in edges)
-    assert set(_rows(spark, tables, "graph_stage_stats_whole")) == {("all", 59, len(edges)), ("connected", len(label), len(edges)), ("giant", sizes[best], inside)}
-    assert {n: s for n, _, s in _rows(spark, tables, "community_table_whole")} == {v: sizes[c] for v, c in label.items()}
-    assert _rows(spark, tables, "cpm_quality_whole")[0][0] == pytest.approx(len(edges) - 0.05 * sum(n * (n - 1) for n in sizes.values()))
+    assert set(_rows(spark, tables, "graph_stage_stats")) == {("all", 59, len(edges)), ("connected", len(label), len(edges)), ("giant", sizes[best], inside)}
+    assert {n: s for n, _, s in _rows(spark, tables, "community_table")} == {v: sizes[c] for v, c in label.items()}
+    assert _rows(spark, tables, "cpm_quality")[0][0] == pytest.approx(len(edges) - 0.05 * sum(n * (n - 1) for n in sizes.values()))
 
 
 def test_communities_query_reads_all_lines(spark, tables):
@@ -66,7 +66,7 @@ def test_communities_query_reads_all_lines(spark, tables):
 
 
 def test_merge_takes_all_ids(spark, tables):
-    assert dict(_rows(spark, tables, "merge_precedence_whole")) == {k: 100 + k for k in range(30, 50)} | {k: k % 2 for k in range(1, 30)}
+    assert dict(_rows(spark, tables, "merge_precedence")) == {k: 100 + k for k in range(30, 50)} | {k: k % 2 for k in range(1, 30)}
 
 
 def test_layout_moves_as_far_as_a_large_start_needs(spark):
