@@ -11,12 +11,11 @@ document that contains the item holds one of them for certain. A document's sign
 that size. So the signature holds every shared sketch value, and the search loses nothing, however short the item and long the document,
 unless the item has less than five words: that is found only in a document that consists of just these words.
 
-A candidate is verified once, at the smallest sketch value that it shares with the document, by a length filter and
-the exact containment of the shingles as text. The document side is one scan: words, signature, probe of the broadcast
-sketches and verification run in one stage, only pairs found are shuffled, to keep one row for each.
-Sketches are broadcast where counting shows at most ``BROADCAST_ROWS`` of them. Larger
-benchmarks are joined by hash value, which is uniform but for shingles that all share, with rows of a document's key and a number; the distinct candidates
-then meet the texts, each of which is shuffled once.
+The first scan makes words and signature and probes the sketches; its rows are a document's key, a size and a number, and carry no
+text. The distinct candidates are checkpointed, and each is verified once, in a second scan, by a length filter and the exact containment of the shingles as text.
+Both joins broadcast their small side, the sketches and the candidates, where counting shows at most ``BROADCAST_ROWS`` rows. Larger
+benchmarks are joined by hash value, which is uniform but for shingles that all share. With more candidates, the texts are first filtered by a bitmap of ``BITMAP_ROWS`` x 4 KB
+of the candidates' keys, whatever their number; what passes is joined by a shuffle.
 
 Cases: null and empty texts and items have no shingles and match nothing; equal items and
 null ids match each by themselves; ties don't matter, as all pairs are returned; very long texts are whole; several rows of one document id count as one document, with its
@@ -34,6 +33,7 @@ from refweave.llm.common import LETTER_WORD, ascii_lower, cut, let, table, words
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 200_000
+BITMAP_ROWS = 8192
 
 
 def _per_shingle(w: Column, body) -> Column:
@@ -83,27 +83,41 @@ def _n_shingles(w: Column) -> Column:
     return F.greatest(F.lit(1), F.size(w) - (SHINGLE - 1))
 
 
+def _likely(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose ``which`` is among those of ``found``, and some others: a bit for each, in a broadcast table of fixed size."""
+    bits = BITMAP_ROWS * 32768
+    slot = F.pmod(F.col("which"), F.lit(bits))
+    marks = found.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    at = F.bitmap_bit_position("slot")
+    octet = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("slot", slot).join(F.broadcast(marks), F.bitmap_bucket_number("slot") == F.col("bucket"))
+    return marked.filter(octet.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(slot) % 8 AS INT))")) > 0).select(*rows.columns)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The columns ``keys`` of the document with item_id, item_shingles, shared and containment: one row for each pair found."""
     sketched = sketches(items, threshold)
     limits = F.array(*[F.lit(x).cast("long") for x in signature_limits(sketched)])
     index = sketched.select("*", F.posexplode("sketch").alias("rank", "probe"))
-    own = docs.select(F.struct(*keys).alias("row"), F.xxhash64(text).alias("of_text"), words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
+    which = F.xxhash64(*keys, text)
+    own = docs.select(which.alias("which"), words(ascii_lower(F.col(text)), LETTER_WORD).alias("w"))
     limit = F.get(limits, _size_class(_n_shingles(F.col("w"))))
-    own = own.select("row", "of_text", "w", F.array_distinct(let(limit, lambda t: F.filter(shingle_hashes(F.col("w")), lambda h: h <= t))).alias("signature"))
-    shared = F.when(_n_shingles(F.col("w")) >= F.col("need"), F.size(F.array_intersect("shingles", shingle_texts(F.col("w"))))).otherwise(0)
-    if index.count() <= broadcast_rows:
-        probed = own.select("row", "w", "signature", F.explode("signature").alias("hash"))
-        hits = probed.join(F.broadcast(index), F.col("hash") == F.col("probe"))
-        first = F.size(F.array_intersect(F.slice("sketch", F.lit(1), F.col("rank")), F.col("signature"))) == 0
-        pairs = hits.filter(first)
+    signature = let(limit, lambda t: F.filter(shingle_hashes(F.col("w")), lambda h: h <= t))
+    # The outer form, as the other one has Spark compute the signature again for a filter that it infers.
+    probed = own.select("which", _n_shingles(F.col("w")).alias("fits"), F.explode_outer(F.array_distinct(signature)).alias("hash"))
+    index = sketched.select("item_id", "item", "need", F.explode("sketch").alias("probe"))
+    index = F.broadcast(index) if index.count() <= broadcast_rows else index
+    hits = probed.join(index, F.col("hash") == F.col("probe")).filter(F.col("fits") >= F.col("need"))
+    found = cut(hits.select("which", "item_id", "item").distinct())
+    texts = docs.select(F.struct(*keys).alias("row"), F.col(text).alias("text_of"), which.alias("which"))
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
     else:
-        probed = own.select("row", "of_text", _n_shingles(F.col("w")).alias("fits"), F.explode("signature").alias("hash"))
-        hits = probed.join(index.select("item_id", "item", "need", "probe"), F.col("hash") == F.col("probe")).filter(F.col("fits") >= F.col("need"))
-        found = cut(hits.select(F.struct("row", "of_text").alias("which"), F.struct("item_id", "item").alias("what")).distinct())
-        texts = own.select(F.struct("row", "of_text").alias("which"), "row", "w")
-        whole = sketched.select(F.struct("item_id", "item").alias("what"), "item_id", "shingles", "n", "need")
-        pairs = texts.join(found, "which").join(whole, "what")
+        texts = _likely(texts, found)
+    whole = sketched.select(F.col("item_id").alias("id_of"), F.col("item").alias("of_item"), "shingles", "n", "need")
+    pairs = texts.join(found, "which").join(whole, F.col("item_id").eqNullSafe(F.col("id_of")) & (F.col("item") == F.col("of_item")))
+    pairs = pairs.select("row", "item_id", "n", "need", "shingles", words(ascii_lower(F.col("text_of")), LETTER_WORD).alias("w"))
+    shared = F.size(F.array_intersect("shingles", shingle_texts(F.col("w"))))
     verified = pairs.select("row.*", "item_id", "n", "need", shared.alias("shared")).filter(F.col("shared") >= F.col("need"))
     best = verified.groupBy(*keys, "item_id", "n").agg(F.max("shared").alias("shared"))
     return best.select(*keys, "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("shared").cast("long").alias("shared"), F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
