@@ -93,6 +93,12 @@ def wrapped(c: Column, width: int = 80, indent: int = 6) -> Column:
     )
 
 
+def url_for(template: str, key: Column) -> Column:
+    """The template's address of a key, which takes the place of "{doi}"."""
+    before, _, after = template.partition("{doi}")
+    return F.concat(F.lit(before), key, F.lit(after))
+
+
 def zipped_rows(names: Column, ids: Column) -> Column:
     """Generator of (0, 1) pairs of two lists of one length; an empty pair gives a row of nulls."""
     return F.inline_outer(F.arrays_zip(names, ids))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions import text as X
-from refweave.functions.lineage import cut
-from refweave.operators.unify import symmetric_difference
+from refweave.functions.lineage import cut, fresh
+from refweave.operators.unify import symmetric_difference, union_by_name
 
 Transport = Callable[[list[str]], list[tuple[str, int, str | None]]]
 PAIRS = "array<struct<citing:string,cited:string>>"
@@ -95,3 +95,25 @@ def from_dump(keys: DataFrame, dump: DataFrame, key: str = "doi") -> DataFrame:
 
 def append_new(loaded: DataFrame | None, fetched: DataFrame) -> DataFrame:
     return fetched if loaded is None else loaded.unionByName(fetched)
+
+
+def union_errors(parts: list[DataFrame]) -> DataFrame:
+    """All error rows of several fetches, repeats included."""
+    return union_by_name(parts)
+
+
+def attach_references(database: DataFrame, references: DataFrame, key: str = "doi") -> DataFrame:
+    """``database`` with ``references``, the cited DOIs of the row's key in any case; an empty list without an answer. Keys with several answers have the one that sorts first."""
+    of = fresh(database, "attached_to")
+    answers = references.filter(F.col("citing_doi").isNotNull() & F.col("cited_dois").isNotNull())
+    listed = answers.groupBy(F.lower("citing_doi").alias(of)).agg(F.min("cited_dois").alias("references"))
+    kept = database.select(*[c for c in database.columns if c != "references"])
+    return kept.join(listed, F.lower(F.col(key)) == F.col(of), "left").select(*kept.columns, X.list_if_null(F.col("references")).alias("references"))
+
+
+def enrich_terms(database: DataFrame, terms: DataFrame, key: str = "doi") -> DataFrame:
+    """``database`` with ``terms``, the sorted distinct terms that a table (of the key, term) has for the row's key in any case."""
+    of = fresh(database, "terms_of")
+    listed = terms.groupBy(F.lower(key).alias(of)).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    kept = database.select(*[c for c in database.columns if c != "terms"])
+    return kept.join(listed, F.lower(F.col(key)) == F.col(of), "left").select(*kept.columns, X.list_if_null(F.col("terms")).alias("terms"))

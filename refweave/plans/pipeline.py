@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, MutableMapping
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+from refweave.sources import readers, sinks
 
 
 class PipelineError(ValueError):
@@ -28,7 +36,8 @@ class Pipeline:
 
     config: dict = field(default_factory=dict)
     steps: dict[str, Step] = field(default_factory=dict)
-    cache: dict[str, object] | None = None
+    cache: MutableMapping[str, object] | None = None
+    adapters: list = field(default_factory=list)  # told of each step: before(step), after(step, value, seconds), failed(step, error, seconds)
 
     def add(self, function: Callable, name: str | None = None, when: dict | None = None, fields: tuple[str, ...] = (), kind: str = "node", bind: dict[str, str] | None = None) -> Pipeline:
         """``name__variant`` registers as ``name``. ``when``: the config values under which the step counts. ``fields``: the function returns these parts, each a step. ``bind``: a parameter's step if it isn't its own name."""
@@ -59,6 +68,27 @@ class Pipeline:
             self.steps[name] = Step(name, call, {p: bound.get(p, p) for p in free})
         return self
 
+    def source(self, name: str, path: str, kind: str = "parquet", schema: str | None = None, metadata: bool = False, position: bool = False) -> Pipeline:
+        """A step that reads a file of the kind, from the input ``spark``; ``position`` adds ``source_pos``. With ``metadata`` it loads both, as ``name`` and ``name_metadata``."""
+        read = SOURCES[kind]
+
+        def load(spark):
+            df = read(spark, path, schema, position)
+            return readers.with_metadata(df, path) if metadata else df
+
+        if not metadata:
+            return self.add(load, name, kind="source")
+        return self.add(load, f"{name}_loaded", fields=(name, f"{name}_metadata"), kind="source")
+
+    def sink(self, name: str, of: str, path: str, kind: str = "parquet") -> Pipeline:
+        """A step that writes the step ``of`` as a file of the kind and gives its metadata."""
+        write = SINKS[kind]
+
+        def save(df):
+            return write(df, path)
+
+        return self.add(save, name, kind="sink", bind={"df": of})
+
     def include(self, other: Pipeline) -> Pipeline:
         """The other's steps too; a name that both have is an error."""
         if clash := self.steps.keys() & other.steps.keys():
@@ -101,15 +131,108 @@ class Pipeline:
                 continue
             step = self.steps[name]
             args = {p: values[need] for p, need in step.needs.items() if need in values}
-            values[name] = step.function(*args.values()) if len(args) == len(step.needs) else step.function(**args)
-            if self.cache is not None:
+            for adapter in self.adapters:
+                adapter.before(step)
+            began = time.time()
+            try:
+                values[name] = step.function(*args.values()) if len(args) == len(step.needs) else step.function(**args)
+            except Exception as error:
+                for adapter in self.adapters:
+                    adapter.failed(step, error, time.time() - began)
+                raise
+            for adapter in self.adapters:
+                adapter.after(step, values[name], time.time() - began)
+            if self.cache is not None and step.kind != "sink":
                 self.cache[name] = values[name]
+                values[name] = self.cache[name]
         return {name: values[name] for name in outputs}
 
-    def dot(self, outputs: list[str] | None = None, inputs: set[str] = frozenset()) -> str:
-        """Graphviz text of all steps, or of those that the outputs need."""
+    def dot(self, outputs: list[str] | None = None, inputs: set[str] = frozenset(), deduplicate_inputs: bool = True) -> str:
+        """Graphviz text of all steps, or of those that the outputs need. Inputs are a node each, or one for each step that takes them."""
         names = self.order(outputs, inputs) if outputs else list(self.steps)
         lines = ["digraph {"]
         lines += [f'  "{n}" [shape={"box" if self.steps[n].kind == "node" else "cylinder"}];' for n in names]
-        lines += [f'  "{need}" -> "{n}";' for n in names for need in dict.fromkeys(self.steps[n].needs.values())]
-        return "\n".join([*lines, "}"])
+        for n in names:
+            for need in dict.fromkeys(self.steps[n].needs.values()):
+                given = need not in self.steps
+                node = need if not given or deduplicate_inputs else f"{need} of {n}"
+                if given:
+                    lines.append(f'  "{node}" [shape=plaintext, label="{need}"];')
+                lines.append(f'  "{node}" -> "{n}";')
+        return "\n".join([*dict.fromkeys(lines), "}"])
+
+
+def _placed(df: DataFrame, position: bool) -> DataFrame:
+    return readers.with_position(df) if position else df
+
+
+#: How sources are read and sinks written, by kind.
+SOURCES: dict[str, Callable] = {
+    "parquet": lambda spark, path, schema, position: readers.read_parquet(spark, path, position),
+    "csv": lambda spark, path, schema, position: _placed(readers.read_csv(spark, path, schema), position),
+    "tsv": lambda spark, path, schema, position: _placed(readers.read_literal_tsv(spark, path), position),
+}
+SINKS: dict[str, Callable] = {
+    "parquet": lambda df, path: sinks.write_parquet(df, path),
+    "strings": lambda df, path: sinks.write_parquet(df, path, as_strings=True),
+    "lines": lambda df, path: sinks.write_lines(df, path, df.columns[0]),
+}
+
+
+class RunTracker:
+    """An adapter that keeps a row for each step of a run: what ran, when, how long, and how it ended."""
+
+    COLUMNS = "run string, pipeline string, tags map<string,string>, step string, kind string, started timestamp, seconds double, outcome string, columns array<string>"
+
+    def __init__(self, pipeline: str, tags: dict[str, str] | None = None):
+        self.run, self.pipeline, self.tags, self.rows = uuid.uuid4().hex, pipeline, tags or {}, []
+
+    def before(self, step: Step) -> None:
+        self._started = datetime.now(UTC).replace(tzinfo=None)
+
+    def _add(self, step: Step, seconds: float, outcome: str, columns: list[str] | None) -> None:
+        self.rows.append((self.run, self.pipeline, self.tags, step.name, step.kind, self._started, seconds, outcome, columns))
+
+    def after(self, step: Step, value: object, seconds: float) -> None:
+        self._add(step, seconds, "done", value.columns if isinstance(value, DataFrame) else None)
+
+    def failed(self, step: Step, error: Exception, seconds: float) -> None:
+        self._add(step, seconds, f"{type(error).__name__}: {error}", None)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.COLUMNS)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Appends the run's rows to a table of runs."""
+        self.table(spark).coalesce(1).write.mode("append").parquet(path)
+
+
+class TableCache(MutableMapping):
+    """Results of steps as tables in a folder, found again by step and key (what the inputs and the code were); other values stay in the process."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.spark, self.folder, self.key, self.held = spark, folder.rstrip("/"), hashlib.sha256(key.encode()).hexdigest()[:16], {}
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{self.key}/{name}"
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.held or readers.exists(self.spark, f"{self._path(str(name))}/_SUCCESS")
+
+    def __getitem__(self, name: str) -> object:
+        return self.held[name] if name in self.held else self.spark.read.parquet(self._path(name))
+
+    def __setitem__(self, name: str, value: object) -> None:
+        if isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(self._path(name))
+        else:
+            self.held[name] = value
+
+    def __delitem__(self, name: str) -> None:
+        self.held.pop(name, None)
+
+    def __iter__(self):
+        return iter([*self.held, *(x.rsplit("/", 1)[-1] for x in readers.subfolders(self.spark, f"{self.folder}/{self.key}"))])
+
+    def __len__(self) -> int:
+        return len(list(iter(self)))

@@ -73,12 +73,27 @@ def read_parquet(spark: SparkSession, path: str, position: bool = False) -> Data
     return df.withColumn("source_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))) if position else df
 
 
+def with_metadata(df: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """What a loader gives: the table, and its file's metadata with its columns."""
+    return df, file_metadata(df.sparkSession, path) | {"columns": df.columns, "schema": df.schema.simpleString()}
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """``df`` with ``source_pos``, as ``read_parquet`` gives it, for texts: file, and a number that rises within the file (one split a file with ``multiLine``)."""
+    return df.withColumn("source_pos", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether any store that Spark reads has the path."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Paths of the folders in ``path``; none if it is not there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.functions import text as X
@@ -16,6 +18,23 @@ def write_parquet(df: DataFrame, path: str, as_strings: bool = False) -> dict:
     return file_metadata(df.sparkSession, path) | {"columns": df.columns}
 
 
+def replace_parquet(df: DataFrame, path: str) -> dict:
+    """Puts ``df`` in place of a table that it may itself read: written whole beside it first, then renamed."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    jvm = spark._jvm
+    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{new}.old")
+    if fs.exists(old):
+        fs.rename(old, aside)
+    fs.rename(fresh, old)
+    if fs.exists(aside):
+        fs.delete(aside, True)
+    return file_metadata(spark, path) | {"columns": df.columns}
+
+
 def write_lines(df: DataFrame, path: str, column: str = "value", order: list[str] | None = None) -> dict:
     """One line (or record of several) for each row, in the order of ``order`` over the part files."""
     out = df.orderBy(*order) if order else df
@@ -116,3 +135,51 @@ def graphml_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def write_graphml(vertices: DataFrame, edges: DataFrame, path: str) -> dict:
     return write_lines(graphml_lines(vertices, edges), path, order=["part", "key"])
+
+
+#: A picture shows this many edges; beyond them those with the least hash, whose vertices are drawn too.
+DRAWN = 20_000
+
+
+def svg_lines(vertices: DataFrame, edges: DataFrame, drawn: int = DRAWN, size: int = 1000) -> list[str]:
+    """A drawing of the network (vertices: name, x, y; edges: src, dst) of at most ``drawn`` edges, which is what a picture can show."""
+    shown = edges.select("src", "dst").distinct().orderBy(F.xxhash64("src", "dst"), "src", "dst").limit(drawn)
+    a, b = vertices.select(F.col("name").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1")), vertices.select(F.col("name").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    rows = shown.join(a, "src").join(b, "dst").orderBy("src", "dst").collect()  # drawn rows
+    box = vertices.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    x0, y0 = box["x0"] or 0.0, box["y0"] or 0.0
+    scale = size / max((box["x1"] or 0.0) - x0, (box["y1"] or 0.0) - y0, 1e-9)
+
+    def at(x: float, y: float) -> tuple[float, float]:
+        return round((x - x0) * scale, 1), round((y - y0) * scale, 1)
+
+    lines = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="-10 -10 {size + 20} {size + 20}">']
+    points: dict = {}
+    for r in rows:
+        (x1, y1), (x2, y2) = at(r["x1"], r["y1"]), at(r["x2"], r["y2"])
+        points[r["src"]], points[r["dst"]] = (x1, y1), (x2, y2)
+        lines.append(f'<line x1="{x1}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="#999" stroke-width="0.5"/>')
+    lines += [f'<circle cx="{x}" cy="{y}" r="2" fill="#c33"/>' for x, y in points.values()]
+    return [*lines, "</svg>"]
+
+
+def write_svg(vertices: DataFrame, edges: DataFrame, path: str, drawn: int = DRAWN) -> dict:
+    spark = vertices.sparkSession
+    lines = spark.createDataFrame([("\n".join(svg_lines(vertices, edges, drawn)),)], "value string").coalesce(1)
+    return write_lines(lines, path)
+
+
+def scatter_html(points: list[tuple[float, float]], title: str, width: int = 500, height: int = 250) -> str:
+    """A static page with a scatter plot of a few points."""
+    xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
+
+    def at(v: float, low: float, high: float, size: int) -> float:
+        return round(20 + (size - 40) * (v - low) / ((high - low) or 1), 1)
+
+    marks = "".join(f'<circle cx="{at(x, min(xs), max(xs), width)}" cy="{round(height - at(y, min(ys), max(ys), height), 1)}" r="7" fill="red"/>' for x, y in points)
+    safe = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{safe}</title></head><body><svg width="{width}" height="{height}">{marks}</svg></body></html>'
+
+
+def write_html(spark: SparkSession, page: str, path: str) -> dict:
+    return write_lines(spark.createDataFrame([(page,)], "value string").coalesce(1), path)
