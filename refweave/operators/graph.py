@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions.lineage import cut
@@ -10,6 +10,7 @@ from refweave.operators.communities import communities  # noqa: F401
 from refweave.operators.components import component_labels
 from refweave.operators.layout import layout  # noqa: F401
 from refweave.operators.skew import lookup
+from refweave.operators.unify import ranked
 
 
 def valid_keys(df: DataFrame, key: str = "doi") -> DataFrame:
@@ -26,12 +27,8 @@ def citation_edges(references: DataFrame, valid: DataFrame, citing: str = "citin
 
 
 def vertex_ids(valid: DataFrame) -> DataFrame:
-    """(name, id): ranks from 0 in the order of names. Names are dealt by ranges, ranked within each, and shifted by the sizes of the ranges before, so no task sorts all."""
-    ranged = cut(valid.select("name").repartitionByRange("name").withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("part").count()
-    shift = sizes.select(F.col("part").alias("of"), (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("shift"))  # a row for each partition
-    ranked = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("name")))
-    return ranked.join(F.broadcast(shift), F.col("part") == F.col("of")).select("name", (F.col("rank") - 1 + F.col("shift")).cast("long").alias("id"))
+    """(name, id): ranks from 0 in the order of names."""
+    return ranked(valid.select("name"), ["name"]).select("name", F.col("rank").alias("id"))
 
 
 def edges_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -86,16 +83,9 @@ def stage_stats(valid: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def community_table(labels: DataFrame) -> DataFrame:
-    """(name, community_id, community_size) from (name, label): numbers from 0 by falling size, then label.
-
-    Communities are dealt by ranges of both, ranked within each, and shifted by the numbers of the ranges before, so no task sorts all.
-    """
+    """(name, community_id, community_size) from (name, label): numbers from 0 by falling size, then label."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("community_size"))
-    ranged = cut(sizes.repartitionByRange(F.desc("community_size"), "label").withColumn("part", F.spark_partition_id()))
-    counts = ranged.groupBy("part").count()
-    shift = counts.select(F.col("part").alias("of"), (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("shift"))  # a row for each partition
-    ranked = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("community_size"), "label")))
-    numbered = cut(ranked.join(F.broadcast(shift), F.col("part") == F.col("of")).select("label", "community_size", (F.col("rank") - 1 + F.col("shift")).cast("long").alias("community_id")))
+    numbered = cut(ranked(sizes.withColumn("fewest", -F.col("community_size")), ["fewest", "label"]).select("label", "community_size", F.col("rank").alias("community_id")))
     total = numbered.agg(F.sum("community_size").alias("n")).first()["n"] or 0
     found = lookup(labels, numbered.withColumn("n", F.col("community_size")), "label", "n", total)
     return found.select("name", "community_id", "community_size")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refweave.functions.lineage import cut, fresh
+
 
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
     """All rows; columns that a part lacks are null there. No part at all is an error."""
@@ -62,3 +64,13 @@ def merge_precedence(winner: DataFrame, other: DataFrame, key: str, value: str)
 def ordered_list(value: Column, order: Column) -> Column:
     """Aggregate: the values that are not null, in the order."""
     return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``rank``, numbers from 0 in the order. Rows are dealt by ranges, ranked within each, and shifted by the sizes of the ranges before, so no task sorts all."""
+    part, at = fresh(df, "part"), fresh(df, "at")
+    ranged = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).count()
+    shift = sizes.select(F.col(part).alias(at), (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias("shift"))  # a row for each partition
+    numbered = ranged.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return numbered.join(F.broadcast(shift), F.col(part) == F.col(at)).select(*df.columns, (F.col("rank") - 1 + F.col("shift")).cast("long").alias("rank"))

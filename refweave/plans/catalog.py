@@ -30,19 +30,19 @@ def query(sql: str | None = None):
     return add
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # A part cites another if an order has the first on line 1, the second on a later line.
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = lines.filter("l_linenumber = 1").alias("a"), lines.filter("l_linenumber > 1").alias("b")
     return a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
 
 
 _E = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
@@ -56,11 +56,11 @@ _G = f"""{_C}, best AS (SELECT label FROM c GROUP BY label ORDER BY count(*) DES
 
 @query(f"WITH {_E} SELECT * FROM e")
 def citation_edges(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").cast("string").alias("citing_doi"))
     cited = lines.filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("cited_dois"))
     references = first.join(cited, F.col("l_orderkey") == F.col("o"))
-    valid = graph.valid_keys(_t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doi")))
+    valid = graph.valid_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doi")))
     return graph.citation_edges(references, valid).select(F.col("src").cast("long"), F.col("dst").cast("long"))
 
 
@@ -103,20 +103,20 @@ SELECT a.id AS src_id, b.id AS dst_id FROM e JOIN c ON e.src = c.v JOIN ids a ON
 )
 def citation_network(spark, sf_dir):
     """The edges of the whole composite: valid keys, edges among them, ids, giant component."""
-    lines = _t(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").cast("string").alias("citing_doi"))
     cited = lines.filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("cited_dois"))
     # Ids are ranks of names as text; the digits in front make that the order of the numbers.
     wide = lambda c: F.lpad(c, 12, "0")
     references = first.join(cited, F.col("l_orderkey") == F.col("o")).select(wide(F.col("citing_doi")).alias("citing_doi"), F.transform("cited_dois", wide).alias("cited_dois"))
-    database = _t(spark, sf_dir, "part").select(wide(F.col("p_partkey").cast("string")).alias("doi"))
+    database = table(spark, sf_dir, "part").select(wide(F.col("p_partkey").cast("string")).alias("doi"))
     return graph.citation_network(database, references)[1].select("src_id", "dst_id")
 
 
 # A graph of many components: each document cites the copy of its text before it.
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
-    keyed = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
     return keyed.select(F.col("doc_id").alias("src"), before.alias("dst")).filter(F.col("dst").isNotNull())
 
 
@@ -127,7 +127,7 @@ def copy_components(spark, sf_dir):
 
 @query("SELECT doc_id AS name FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n = 1")
 def isolated_documents(spark, sf_dir):
-    return graph.isolated(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), _copies(spark, sf_dir))
+    return graph.isolated(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), _copies(spark, sf_dir))
 
 
 @query(
@@ -205,7 +205,7 @@ def layout_xy(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left").select("text", "doc_id", "lang", "quality", "toxic")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("text", "doc_id", "lang", "quality", "toxic")
 
 
 @query(
@@ -220,7 +220,7 @@ def fill_first_nonnull(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text")
 def distinct_on_key(spark, sf_dir):
-    return unify.distinct_on(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", ["doc_id"]).select("doc_id", "lang")
+    return unify.distinct_on(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", ["doc_id"]).select("doc_id", "lang")
 
 
 @query(
@@ -228,7 +228,7 @@ def distinct_on_key(spark, sf_dir):
   row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_first FROM documents) WHERE copies > 1"""
 )
 def duplicate_report(spark, sf_dir):
-    keyed = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
     return unify.duplicate_report(keyed, "key", ["doc_id"]).select("doc_id", "copies", "is_first")
 
 
@@ -237,15 +237,15 @@ def duplicate_report(spark, sf_dir):
 UNION ALL SELECT s_name, s_nationkey, NULL, 1 FROM supplier"""
 )
 def unify_sources(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"), F.col("c_mktsegment").alias("segment"))
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationkey"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationkey"))
     return unify.unify([c, s])
 
 
 @query("SELECT DISTINCT doc_id::VARCHAR AS doi FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def to_query(spark, sf_dir):
-    keys = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doi")).distinct()
-    return keys_to_query(keys, _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("citing_doi")))
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doi")).distinct()
+    return keys_to_query(keys, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("citing_doi")))
 
 
 @query(
@@ -253,7 +253,7 @@ def to_query(spark, sf_dir):
 SELECT doc_id, 'left' AS side FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, 'right' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)"""
 )
 def drift_check(spark, sf_dir):
-    return unify.symmetric_difference(_t(spark, sf_dir, "labels").filter("quality = 1"), _t(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id")
+    return unify.symmetric_difference(table(spark, sf_dir, "labels").filter("quality = 1"), table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id")
 
 
 @query(
@@ -261,20 +261,20 @@ def drift_check(spark, sf_dir):
 FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id"""
 )
 def merge_precedence(spark, sf_dir):
-    winner = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
-    return unify.merge_precedence(winner, _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("v")), "doc_id", "v")
+    winner = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
+    return unify.merge_precedence(winner, table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("v")), "doc_id", "v")
 
 
 @query("SELECT l_orderkey AS o, list(DISTINCT l_partkey ORDER BY l_partkey)::VARCHAR[] AS cited, min(l_partkey)::VARCHAR AS first FROM lineitem GROUP BY l_orderkey")
 def adjacency_lists(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey").distinct()
     listed = lines.groupBy("o").agg(unify.ordered_list(F.col("l_partkey").cast("string"), F.col("l_partkey")).alias("cited"))
     return listed.withColumn("first", F.get("cited", F.lit(0)))
 
 
 @query("SELECT l_orderkey AS o, l_partkey AS part, l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY ALL")
 def explode_zip(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("x"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("x"))
     lists = lines.select("o", F.col("x.l_partkey").alias("part"), F.col("x.l_suppkey").alias("supplier")).filter(F.size("part") == F.size("supplier"))
     return lists.select("o", X.zipped_rows(F.col("part"), F.col("supplier"))).groupBy("o", "part", "supplier").agg(F.count("*").alias("n"))
 
@@ -282,46 +282,46 @@ def explode_zip(spark, sf_dir):
 @query("SELECT p_partkey, len(string_split(p_name, ' ')) AS n, string_split(p_name, ' ')[-1] AS last FROM part")
 def split_list(spark, sf_dir):
     parts = X.split_list(F.replace("p_name", F.lit(" "), F.lit("; ")))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.element_at(parts, -1).alias("last"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.element_at(parts, -1).alias("last"))
 
 
 @query("SELECT doc_id, md5(lower(text)) AS key FROM documents")
 def lower_key(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("key"))
 
 
 @query("SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^\\n]*?>', '', 'g'), ' \\([^\\n]*?\\)', '', 'g')) AS stripped FROM pages")
 def regex_delete(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.md5(X.without_ids(X.without_tags(F.col("html"))).cast("binary")).alias("stripped"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.without_ids(X.without_tags(F.col("html"))).cast("binary")).alias("stripped"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, 'ref=(\\S+)', 1), '') AS ref, nullif(regexp_extract('doi:' || url || ' omid:x', 'doi:(\\S+)', 1), '') AS doi FROM pages")
 def regex_extract(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", X.extract_or_null(F.col("url"), r"ref=(\S+)").alias("ref"), X.doi_of(F.concat(F.lit("doi:"), "url", F.lit(" omid:x"))).alias("doi"))
+    return table(spark, sf_dir, "pages").select("page_id", X.extract_or_null(F.col("url"), r"ref=(\S+)").alias("ref"), X.doi_of(F.concat(F.lit("doi:"), "url", F.lit(" omid:x"))).alias("doi"))
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::BIGINT AS year, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS even FROM orders")
 def year_cast(spark, sf_dir):
     mixed = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit(".0"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".5")))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", X.year_of(F.col("o_orderdate")).alias("year"), X.whole_number(mixed).alias("even"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.year_of(F.col("o_orderdate")).alias("year"), X.whole_number(mixed).alias("even"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN '' ELSE event_type END AS event_type FROM events")
 def nan_replace(spark, sf_dir):
     staged = F.when(F.col("event_type") == "click", F.lit("nan")).otherwise(F.col("event_type"))
-    return _t(spark, sf_dir, "events").select("event_id", X.nan_to_blank(staged).alias("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", X.nan_to_blank(staged).alias("event_type"))
 
 
 @query("SELECT c_nationkey AS nation, string_agg(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment || ' ' END || c_name, ' and ' ORDER BY c_name) AS names FROM customer GROUP BY c_nationkey")
 def struct_names(spark, sf_dir):
     person = F.struct(F.col("c_name").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("firstname"), F.col("c_name").alias("lastname"))
-    people = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(person)).alias("p"))
+    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(person)).alias("p"))
     return people.select("nation", F.array_join(X.full_names(F.col("p")), " and ").alias("names"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_decode(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))
 
 
 @query(
@@ -331,7 +331,7 @@ def json_decode(spark, sf_dir):
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def bibtex_records(spark, sf_dir):
-    df = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     key = F.col("doc_id").cast("string")
     people = F.array(F.struct(F.col("lang").alias("firstname"), F.col("source").alias("lastname")))
     none = F.lit(None).cast("string")
@@ -347,7 +347,7 @@ def bibtex_records(spark, sf_dir):
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 )
 def medline_records(spark, sf_dir):
-    df = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    df = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     people = F.array(F.struct(F.col("c_mktsegment").alias("firstname"), F.col("c_name").alias("lastname")))
     key = F.col("o_orderkey").cast("string")
     return df.select("o_orderkey", sinks.medline(key, F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderstatus"), people, F.lit(None).cast("string"), key, F.array("c_mktsegment")).alias("record"))
@@ -369,5 +369,5 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT lang, md5(term) AS term, tf, round(tf * ln((SELECT count(DISTINCT lang) FROM t) / df::DOUBLE), 6) AS score FROM tf JOIN df USING (term)"""
 )
 def tfidf_terms(spark, sf_dir):
-    terms = _t(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower("text"), F.lit(" "))).alias("term"))
+    terms = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower("text"), F.lit(" "))).alias("term"))
     return graph.tfidf(terms, "lang", "term").select("lang", F.md5(F.col("term").cast("binary")).alias("term"), "tf", F.round("score", 6).alias("score"))
