@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that travel to and from Python at once.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python ``BATCH_ROWS`` rows at once at most, so that the memory of a batch of long texts is bounded; a smaller number that was set stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is evaluated once for each row.
 

@@ -47,7 +47,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import bucket_of, cut, shared_dir, table
+from refweave.llm.common import bounded, bucket_of, cut, shared_dir, table
 from refweave.llm.elias_fano import Sequence, encode
 
 ORDER = 3
@@ -490,7 +490,7 @@ def build_trie(docs: DataFrame, train, order: int = ORDER, folder: str | None =
     """The model of the rows where ``train`` holds, and ``number_tokens`` of all rows."""
     folder = folder or os.path.join(shared_dir(docs.sparkSession), f"trie-{uuid.uuid4().hex}")
     # Ids travel as text: pandas would make a nullable long a double.
-    texts = docs.select(F.col(key).cast("string").alias("id"), train.alias("train"), F.col(text).alias("t"))
+    texts = bounded(docs).select(F.col(key).cast("string").alias("id"), train.alias("train"), F.col(text).alias("t"))
     trie = build_words(texts.filter("train"), folder, shard)
     numbered = number_tokens(texts, trie)
     for _ in range(1, order):

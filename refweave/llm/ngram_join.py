@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refweave.llm.common import cut, table
+from refweave.llm.common import bounded, cut, table
 from refweave.functions.lineage import fresh
 from refweave.operators.components import component_labels
 from refweave.operators.skew import lookup
@@ -304,7 +304,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    measured, sketch, total = _measure(docs, text)
+    measured, sketch, total = _measure(bounded(docs), text)
     rows = _postings(docs, text, sketch, total).repartition("token")
     # Both uses read all columns of the same shuffle, which is so written once.
     several = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("n"), F.max("m"), F.max("pos"))

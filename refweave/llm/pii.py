@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import table
+from refweave.llm.common import bounded, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "handle")
@@ -169,7 +169,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in texts:
             yield part.map(lambda t: [{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t)])
 
-    return docs.select(*[c for c in docs.columns if c != "pii"], spans(F.col(text)).alias("pii"))
+    return bounded(docs).select(*[c for c in docs.columns if c != "pii"], spans(F.col(text)).alias("pii"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -180,12 +180,12 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in texts:
             yield part.map(redact)
 
-    out = docs.withColumn(text, clean(F.col(text)))
+    out = bounded(docs).withColumn(text, clean(F.col(text)))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = bounded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     @F.pandas_udf("struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>")
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import bucket_of, cut, table
+from refweave.llm.common import bounded, bucket_of, cut, table
 
 N_FOURIER = 256
 WIDTH = 3.0
@@ -87,7 +87,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in texts:
             yield part.map(statistics)
 
-    return docs.withColumn("statistics", measure(F.col(text)))
+    return bounded(docs).withColumn("statistics", measure(F.col(text)))
 
 
 @dataclass

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import bucket_of, cut, table
+from refweave.llm.common import bounded, bucket_of, cut, table
 from refweave.llm.mixing import fraction_of
 
 N_FEATURES = 4096
@@ -206,7 +206,7 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: dict[tuple[tuple[int,
 
 def fit(train: DataFrame, n_features: int = N_FEATURES, fit_rows: int = FIT_ROWS, ridge: float = RIDGE, weight: float = COUNTERFACTUAL) -> Model:
     """A model of ``train`` (doc_id, text, y)."""
-    names, pos, neg = select_features(train, n_features)
+    names, pos, neg = select_features(bounded(train), n_features)
     if not names:
         share = pos / (pos + neg) if pos + neg else 0.0
         return Model({}, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -247,7 +247,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part in texts:
             yield part.map(model.score)
 
-    return docs.withColumn("toxicity", score(F.col(text)))
+    return bounded(docs).withColumn("toxicity", score(F.col(text)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

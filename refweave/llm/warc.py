@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import cut, shared_dir, table
+from refweave.llm.common import bounded, cut, shared_dir, table
 from refweave.operators.skew import lookup
 
 STEP = 1 << 16
@@ -180,7 +180,7 @@ def write_warc(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
     # Ids travel as text: pandas would make a nullable long a double.
-    return cut(planned.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).mapInPandas(write, MANIFEST))
+    return cut(bounded(planned).select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).mapInPandas(write, MANIFEST))
 
 
 def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
