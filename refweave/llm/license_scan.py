@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text's words (lower-cased ASCII, letters and digits) are cut into blocks of ``BLOCK``
-words every ``BLOCK // 2`` words, so that any run of up to ``BLOCK // 2`` words lies
-whole within one block. A block matches a template if it holds at least
+A text's words (lower-cased ASCII, letters and digits) are cut into overlapping blocks. Templates are sorted into classes by length (up to
+``BLOCK // 2`` words, then by powers of two); a class whose templates have at most L words uses blocks of 2 L words every L words, so any run of up
+to L words lies whole within one of them, at any place. A block matches a template if it holds at least
 ``threshold`` of the template's distinct words.
 
 The join is the usual prefix-filter one. Words of the templates are ordered by the number
@@ -12,7 +12,7 @@ words must share one of its ``size - need + 1`` first words with the block's fir
 ``block size - need + 1`` ones; pairs found so pass a length filter (the block has
 ``need`` template words at all) and a positional filter (as many can still follow), and
 are then verified by the exact overlap. The template side is the fixed index, a literal in
-the plan, so the document side is a single scan without any shuffle.
+the plan, so the document side is a single scan without any shuffle; it is meant for hundreds of templates. A template without words raises an error.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows and ids,
 null ids and ties give one result row for each input row; an empty table gives an empty
@@ -22,11 +22,13 @@ result; further columns are ignored by the query and kept by ``scan_licenses``,
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.common import LETTER_WORD, LETTER_WORD_ANY_CASE, ascii_lower, let, table, words
+from refweave.llm.common import LETTER_WORD, LOWER, UPPER, ascii_lower, let, table, words
+from refweave.llm.license_texts import TEMPLATES
 
 BLOCK = 64
 THRESHOLD = 0.8
@@ -38,33 +40,20 @@ PHRASES = {
     "general public license": "gpl",
 }
 
-#: Short public notices, with the label each one gives. At most BLOCK // 2 words.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc0-1.0", "cc0 1 0 universal public domain dedication"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-]
+def template_words(text: str) -> list[str]:
+    """The words of a template, as those of the texts."""
+    return re.findall(LETTER_WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def half_block(n: int) -> int:
+    """The length of its class for a template of n words: half of its blocks."""
+    return max(BLOCK // 2, 1 << (n - 1).bit_length())
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
-    """For each word of the vocabulary, in how many rows it occurs (in lower, upper or title case)."""
-    forms = {form: w for w in vocabulary for form in (w, w.upper(), w.title())}
-    found = (
-        docs.select(F.explode(F.array_intersect(words(F.col(text), LETTER_WORD_ANY_CASE), F.array(*map(F.lit, forms)))).alias("w"))
-        .groupBy("w")
-        .count()
-    )
-    counts = dict.fromkeys(vocabulary, 0)
-    for row in found.collect():  # at most three rows for each word of the templates
-        counts[forms[row["w"]]] += row["count"]
-    return counts
+    """For each word of the vocabulary, in how many rows it occurs."""
+    found = docs.select(F.explode(F.array_intersect(words(ascii_lower(F.col(text)), LETTER_WORD), F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
+    return dict.fromkeys(vocabulary, 0) | {row["w"]: row["count"] for row in found.collect()}  # a row for each word of the templates
 
 
 def _index(templates: list[tuple[str, str]], counts: dict[str, int], threshold: float) -> tuple[list[str], list[dict]]:
@@ -72,9 +61,10 @@ def _index(templates: list[tuple[str, str]], counts: dict[str, int], threshold:
     rank = {w: i for i, w in enumerate(order)}
     entries = []
     for label, notice in templates:
-        own = sorted(set(notice.split()), key=rank.get)
+        placed = template_words(notice)
+        own = sorted(set(placed), key=rank.get)
         need = max(1, math.ceil(threshold * len(own) - 1e-9))
-        entries.append({"label": label, "words": own, "need": need, "prefix": own[: len(own) - need + 1]})
+        entries.append({"label": label, "words": own, "need": need, "prefix": own[: len(own) - need + 1], "half": half_block(len(placed))})
     return order, entries
 
 
@@ -100,9 +90,8 @@ def _all(conditions: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _matches(w: Column, order: list[str], entries: list[dict], threshold: float) -> Column:
-    """Array of (label, containment) of all templates that a block of the words contains."""
-    step = BLOCK // 2
+def _matches(w: Column, order: list[str], entries: list[dict], step: int) -> Column:
+    """Array of (label, containment) of all templates, of one class, that a block of the words contains."""
     ranked = F.array(*map(F.lit, order))
     sets = F.array(*[F.array(*map(F.lit, e["words"])) for e in entries])
     labels = F.array(*[F.lit(e["label"]) for e in entries])
@@ -133,7 +122,7 @@ def _matches(w: Column, order: list[str], entries: list[dict], threshold: float)
 
     blocks = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - step), F.lit(step)),
-        lambda s: F.array_intersect(ranked, F.slice(w, s, F.lit(BLOCK))),
+        lambda s: F.array_intersect(ranked, F.slice(w, s, F.lit(2 * step))),
     )
     first = sorted({word for e in entries for word in e["prefix"]})
     return F.when(F.arrays_overlap(w, F.array(*map(F.lit, first))), F.flatten(F.transform(blocks, of_block))).otherwise(none)
@@ -142,16 +131,19 @@ def _matches(w: Column, order: list[str], entries: list[dict], threshold: float)
 def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with a struct column ``license``: n_words, places (start, label) of the phrases, matches (label, containment) of the templates."""
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
+    vocabulary = sorted({w for _, notice in templates for w in template_words(notice)})
+    if not templates or not all(template_words(notice) for _, notice in templates):
+        raise ValueError("a template without words can't match")
     order, entries = _index(templates, document_frequencies(docs, vocabulary, text), threshold)
-    found = let(
-        words(ascii_lower(F.col(text)), LETTER_WORD),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            _phrase_starts(w).alias("places"),
-            _matches(w, order, entries, threshold).alias("matches"),
-        ),
-    )
+    classes: dict[int, list[dict]] = {}
+    for e in entries:
+        classes.setdefault(e["half"], []).append(e)
+
+    def scanned(w: Column) -> Column:
+        matches = [_matches(w, [x for x in order if any(x in e["words"] for e in own)], own, half) for half, own in sorted(classes.items())]
+        return F.struct(F.size(w).cast("long").alias("n_words"), _phrase_starts(w).alias("places"), F.concat(*matches).alias("matches"))
+
+    found = let(words(ascii_lower(F.col(text)), LETTER_WORD), scanned)
     return docs.select(*[c for c in docs.columns if c != "license"], found.alias("license"))
 
 
@@ -175,8 +167,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    templates = ", ".join(f"({k}, '{label}', string_split('{notice}', ' '))" for k, (label, notice) in enumerate(TEMPLATES))
-    vocabulary = ", ".join(f"'{w}'" for w in sorted({w for _, notice in TEMPLATES for w in notice.split()}))
+    placed = [(label, template_words(notice)) for label, notice in TEMPLATES]
+    templates = ", ".join(f"({k}, '{label}', string_split('{' '.join(w)}', ' '), {half_block(len(w))})" for k, (label, w) in enumerate(placed))
+    vocabulary = ", ".join(f"'{x}'" for x in sorted({x for _, w in placed for x in w}))
     phrases = " UNION ALL ".join(
         f"SELECT r, i, '{label}' AS label FROM pos WHERE w[i + 1] = '{p[0]}'" + "".join(f" AND w[i + {k + 1}] = '{x}'" for k, x in enumerate(p) if k)
         for p, label in ((phrase.split(), label) for phrase, label in PHRASES.items())
@@ -188,10 +181,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id,
 pos AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM d WHERE list_contains(w, 'license')),
 base AS ({phrases}),
 base_by AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY r),
-starts AS (SELECT r, w, unnest(range(0, greatest(len(w) - {BLOCK // 2}, 1), {BLOCK // 2})) AS s FROM d),
-block AS (SELECT r, s, list_filter(w[s + 1 : s + {BLOCK}], lambda x: x IN ({vocabulary})) AS b FROM starts),
-tpl AS (SELECT k, label, list_distinct(t) AS t FROM (VALUES {templates}) AS v(k, label, t)),
-hit AS (SELECT r, label, len(list_intersect(t, b)) / len(t)::DOUBLE AS c FROM block CROSS JOIN tpl
+tpl AS (SELECT k, label, list_distinct(t) AS t, half FROM (VALUES {templates}) AS v(k, label, t, half)),
+halves AS (SELECT DISTINCT half FROM tpl),
+starts AS (SELECT r, w, half, unnest(range(0, greatest(len(w) - half, 1), half)) AS s FROM d, halves),
+block AS (SELECT r, half, list_filter(list_distinct(w[s + 1 : s + 2 * half]), lambda x: x IN ({vocabulary})) AS b FROM starts),
+hit AS (SELECT r, label, len(list_intersect(t, b)) / len(t)::DOUBLE AS c FROM block JOIN tpl USING (half)
   WHERE len(list_intersect(t, b)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 hit_by AS (SELECT r, max(c) AS best, list(DISTINCT label) AS labels FROM hit GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base_by.n, 0)::BIGINT AS n_base,
