@@ -1,9 +1,10 @@
 """The anchor parsers against plain regular expressions, on random text of the critical characters."""
 
+import hashlib
 import random
 import re
 
-from refweave.llm.pii import BASE, _luhn, find_spans, redact
+from refweave.llm.pii import BASE, _luhn, find_spans, op7_pii, redact
 
 PLAIN = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -34,6 +35,23 @@ def test_same_as_regular_expressions():
         assert [s for s in find_spans(text) if s[0] in BASE] == plain(text), text
 
 
+def test_query_columns(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab@.-0149 +()\n") for _ in range(rng.randrange(200))) for _ in range(80)]
+    texts += ["mail a.b@c.org from 10.0.0.1, card 4111 1111 1111 1111, call +49 (30) 123-4567", "é a@b.c", None, "", "http://x.y/z @name iban GB29 NWBK 6016 1331 9268 19"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op7_pii(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for k, text in enumerate(texts):
+        base = plain(text or "")
+        r = rows[k]
+        assert [r[f"n_{kind}"] for kind in BASE] == [sum(x[0] == kind for x in base) for kind in BASE]
+        listed = ",".join(f"{a}:{b}:{c}" for a, b, c in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x.split(":")[0] in BASE] == [x for x in listed.split(",") if x]
+    assert {x.split(":")[0] for x in rows[len(texts) - 1]["spans"].split(",")} == {"url", "handle", "account"}
+
+
 def test_valid_cards_are_found():
     rng = random.Random(6)
     for _ in range(300):
