@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
 ``documents``. Cases: null and empty texts pass every stage as documents without
-words (and are taken no times or more by the last, which multiplies nothing); null ids stay; an empty table passes as empty;
-further columns are dropped by ``documents``' own column list.
+words (and are taken no times or more by the last, which multiplies nothing); null ids stay; rows that repeat an id are one document for the
+near copies; ties go to the least id; very long texts are whole; an empty table passes as empty;
+further columns, whatever their names, are dropped by ``documents``' own column list.
 """
 
 from __future__ import annotations
@@ -57,12 +58,17 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The toxicity model is fitted, which SQL cannot express; tests hold the stages against brute force.
+#: The toxicity model is fitted, which SQL cannot express; tests/llm/test_pipeline.py holds the whole run against a brute-force one.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage read goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     folder = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
@@ -70,5 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
