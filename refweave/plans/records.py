@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions import text as X
@@ -20,10 +20,12 @@ from refweave.plans.catalog import query, table
 from refweave.plans.schema import UNIFIED
 from refweave.sources import readers, sinks
 
-_NONE = F.lit(None).cast("string")
 
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
-def _text(c) -> F.Column:
+
+def _text(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
@@ -53,7 +55,7 @@ def _wos_export(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.col("s_name").alias("TI"),
         F.concat("s_name", F.lit("; X")).alias("AU"),
-        _NONE.alias("AB"),
+        _none().alias("AB"),
         F.concat(F.lit("<b>k</b>"), _text("s_nationkey"), F.lit("; z")).alias("DE"),
         F.lit("W").alias("SO"),
         F.concat(F.lit("10.1/K"), _text(F.col("s_suppkey") * 3)).alias("DI"),
@@ -68,13 +70,13 @@ _WOS = """SELECT s_name AS title, [s_name, 'X'] AS authors, '' AS abstract, ['k'
 
 def _pubmed_export(spark, sf_dir) -> DataFrame:
     size = F.col("p_size")
-    people = F.array(F.struct(F.col("p_brand").alias("firstname"), F.col("p_type").alias("lastname")), F.struct(_NONE.alias("firstname"), _NONE.alias("lastname")), F.struct(_NONE.alias("firstname"), F.lit("Q").alias("lastname")))
+    people = F.array(F.struct(F.col("p_brand").alias("firstname"), F.col("p_type").alias("lastname")), F.struct(_none().alias("firstname"), _none().alias("lastname")), F.struct(_none().alias("firstname"), F.lit("Q").alias("lastname")))
     return table(spark, sf_dir, "part").select(
         _text("p_partkey").alias("pubmed_id"),
         F.col("p_name").alias("title"),
         F.when(size % 2 == 0, F.col("p_type")).alias("abstract"),
         F.when(size % 3 != 0, F.array("p_brand")).alias("keywords"),
-        _NONE.alias("journal"),
+        _none().alias("journal"),
         F.when(size % 5 != 0, F.concat(_text(1950 + size), F.lit("-01-01"))).alias("publication_date"),
         people.alias("authors"),
         F.concat(F.lit("10.1/K"), _text(F.col("p_partkey") * 2)).alias("doi"),
@@ -91,7 +93,7 @@ def _ebsco_export(spark, sf_dir) -> DataFrame:
         F.col("o_orderstatus").alias("title"),
         F.when(key % 2 == 0, F.concat("o_orderpriority", F.lit("; Z"))).alias("contributors"),
         F.when(key % 9 == 0, "nan").otherwise(F.col("o_orderpriority")).alias("abstract"),
-        _NONE.alias("subjects"),
+        _none().alias("subjects"),
         F.lit("E").alias("source"),
         F.lit("ASU").alias("longDBName"),
         F.when(key % 10 != 0, F.concat(F.lit("10.1/K"), _text(key))).alias("doi"),
