@@ -9,6 +9,8 @@ Kinds, in their order: email, ip, card and phone (the base, with the leftmost
 non-overlapping spans of their grammar; spans that fail validation are dropped without a
 retry), then the method's own: url (scheme and rest), account (a cue such as "iban" or
 "account number" and the identifier after it) and handle (an @name that is no email).
+An account ends where its check holds: behind "iban" at the longest group whose check digits are right, behind "ssn" at the
+nine digits of a number that can be issued. Where none holds, as with mistyped or other numbers, it ends with the last word that has a digit.
 Spans are code points, with an exclusive end.
 
 Cases: a null or empty text has no spans; repeated rows and ids give a row each; an empty
@@ -45,6 +47,7 @@ _DIALLED = re.compile(r"[ ().0-9-]+")
 _REST = re.compile(r"[^\s<>\"']+")
 _IDENTIFIER = re.compile(r"[ :#.]{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})")
 _LAST_DIGIT = re.compile(r".*[0-9][A-Za-z0-9]*")
+_ISSUED = re.compile(r"(?!000|666|9)[0-9]{3}[ -]?(?!00)[0-9]{2}[ -]?(?!0000)[0-9]{4}(?![A-Za-z0-9])")
 _NAME = re.compile(r"[A-Za-z0-9_]{2,30}")
 
 
@@ -63,6 +66,25 @@ def _anchors() -> ahocorasick.Automaton:
     return out
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """The end of the longest run of whole groups from ``start`` whose check digits are right (ISO 13616)."""
+    for stop in range(end, start + 14, -1):
+        if stop < end and text[stop].isalnum():
+            continue  # within a group
+        plain = text[start:stop].replace(" ", "").replace("-", "").upper()
+        if 15 <= len(plain) <= 34 and plain[:2].isalpha() and plain[2:4].isdigit() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return stop
+    return None
+
+
+def _account_end(text: str, cue: str, start: int, end: int) -> int:
+    if cue == "iban" and (stop := _iban_end(text, start, end)):
+        return stop
+    if cue == "ssn" and (issued := _ISSUED.match(text, start, end)):
+        return issued.end()
+    return _LAST_DIGIT.match(text, start, end).end()
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -141,7 +163,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         elif not (at and text[at - 1].isalnum()):
             value = _IDENTIFIER.match(text, last + 1)
             if value and sum(c in DIGITS for c in value[1]) >= 5:
-                found["account"].append((value.start(1), _LAST_DIGIT.match(text, *value.span(1)).end()))  # without words behind the last one with a digit
+                found["account"].append((value.start(1), _account_end(text, text[at : last + 1].lower(), *value.span(1))))
     return [(kind, *span) for kind in KINDS for span in sorted(set(found[kind]))]
 
 

@@ -67,6 +67,17 @@ def test_empty_and_null():
     assert redact("mail a.b@c.org now") == "mail [email] now"
 
 
+def test_accounts_end_where_their_check_holds():
+    def accounts(text):
+        return [text[a:b] for k, a, b in find_spans(text) if k == "account"]
+
+    assert accounts("IBAN: DE89 3704 0044 0532 0130 00 2 pieces") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("iban GB29NWBK60161331926819 ok 7") == ["GB29NWBK60161331926819"]
+    assert accounts("iban DE88 3704 0044 0532 0130 00 then") == ["DE88 3704 0044 0532 0130 00"]  # mistyped: still personal
+    assert accounts("SSN 123-45-6789 12 apples") == ["123-45-6789"] and accounts("ssn 900-45-6789 x") == ["900-45-6789"]
+    assert accounts("passport X1234567 now") == ["X1234567"] and accounts("iban of 12 men") == []
+
+
 def test_overlapping_spans_are_redacted_whole():
     assert redact("ssn 123-45-6789 mail bob@x.com") == "ssn [account] mail [email]"
     assert redact("iban GB29 NWBK 6016 1331 9268 19 thanks") == "iban [account] thanks"
