@@ -314,3 +314,49 @@ def sorted_lines(spark, sf_dir):
     # A customer's name carries its number, so the place in the files can be compared with it.
     ranked = unify.ranked(read, ["file", "at"])
     return ranked.select(F.col("rank").alias("line"), "value")
+
+
+@query("SELECT '10.1/c' || c_custkey AS citing_doi, ['10.2/' || c_custkey, '10.2/x'] AS cited_dois FROM customer WHERE c_custkey % 50 <> 7")
+def incremental_references(spark, sf_dir):
+    """Three calls of the incremental refresh over new files; a service that fails for some keys, which are asked again and fail again."""
+    from refweave.streaming.incremental import loaded_batches, refresh
+
+    folder = _folder(spark, "stream")
+    incoming, references, errors, state = (f"{folder}/{x}" for x in ("in", "references", "errors", "state"))
+
+    def answer(keys):
+        out = []
+        for key in keys:
+            number = key.removeprefix("10.1/c")
+            body = '[{"citing":"omid:br/1 doi:%s","cited":"doi:10.2/%s"},{"citing":"omid:br/1 doi:%s","cited":"omid:br/2 doi:10.2/x"}]' % (key, number, key)
+            out.append((key, 500, "down") if int(number) % 50 == 7 else (key, 200, body))
+        return out
+
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("10.1/C"), _text("c_custkey")).alias("doi"), (F.col("c_custkey") % 3).alias("part"))
+    for part in range(3):
+        # Each file repeats keys of the ones before; only those without an answer are asked for.
+        keys.filter(F.col("part") <= part).select("doi").write.mode("append").parquet(incoming)
+        refresh(spark, incoming, references, errors, state, answer, batch=100, pause=0.0, lanes=4)
+    return loaded_batches(spark, references).select("citing_doi", "cited_dois")
+
+
+@query("SELECT count(*) AS vertices, true AS centred, true AS spread FROM (SELECT l_partkey FROM lineitem GROUP BY l_partkey)")
+def layout_invariants(spark, sf_dir):
+    """A layout has a place for each vertex, its centre in the middle, and a unit of area a vertex. Vertices are the parts of all lines, edges those between lines of an order."""
+    from refweave.operators.layout import layout
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
+    pairs = lines.groupBy("l_orderkey").agg(F.min("part").alias("dst")).join(lines, "l_orderkey").select(F.col("part").alias("src"), "dst")
+    placed = layout(pairs, rounds=30)
+    n = F.count("*")
+    off = F.abs(F.avg("x")) + F.abs(F.avg("y"))
+    return placed.agg(n.alias("vertices"), (off < 1e-6).alias("centred"), (F.abs(F.var_pop("x") + F.var_pop("y") - n / 6) < n * 1e-6).alias("spread"))
+
+
+@query("SELECT p_partkey, p_size + 1 AS p_size FROM part")
+def replaced_table(spark, sf_dir):
+    """A table is put in place of the one that it reads."""
+    path = _folder(spark, "table")
+    sinks.write_parquet(table(spark, sf_dir, "part").select("p_partkey", "p_size"), path)
+    sinks.replace_parquet(spark.read.parquet(path).withColumn("p_size", F.col("p_size") + 1), path)
+    return spark.read.parquet(path)
