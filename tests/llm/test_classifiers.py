@@ -75,6 +75,14 @@ def test_toxicity_query_on_held_out_rows(spark, tmp_path):
     assert [tuple(r)[0] for r in with_columns.collect()] == [1]
 
 
+def test_many_labels_are_joined_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1), (None, 1)], "doc_id long, toxic int")
+    few = sorted(map(tuple, T.labelled_rows(docs, labels).collect()))
+    monkeypatch.setattr(T, "BROADCAST_LABELS", 0)
+    assert sorted(map(tuple, T.labelled_rows(docs, labels).collect())) == few == [(1, "a", 0), (1, "a", 1), (1, "d", 0), (1, "d", 1)]
+
+
 def _quality_corpus(n=1200):
     rng = random.Random(15)
     rows = []

@@ -77,6 +77,13 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [3, 5]
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    same = "the quick brown fox jumps over the lazy dog again"
+    docs = spark.createDataFrame([(5, same, 1, 2), (6, same, 3, 4)], "doc_id long, text string, gone int, _gone int")
+    kept = join.one_per_component(docs)
+    assert [tuple(r) for r in kept.collect()] == [(5, same, 1, 2)] and kept.columns == docs.columns
+
+
 def test_one_id_joins_its_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
     docs = spark.createDataFrame([(7, a), (7, b), (8, a), (4, b)], "doc_id long, text string")
