@@ -345,7 +345,7 @@ def number_tokens(docs: DataFrame, trie: Trie) -> DataFrame:
             for i, text in enumerate(part["t"]):
                 hashes.append(hashed_words(text))
                 size += len(hashes[-1])
-                if size >= BATCH_TOKENS or i == len(part) - 1:
+                if size >= 2 * BATCH_TOKENS or i == len(part) - 1:
                     yield numbered(part.iloc[lo : i + 1], hashes)
                     lo, hashes, size = i + 1, [], 0
 
@@ -353,13 +353,15 @@ def number_tokens(docs: DataFrame, trie: Trie) -> DataFrame:
 
 
 def _texts(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about BATCH_TOKENS: the rows, all their ids, the places of first tokens."""
+    """Runs of whole texts of about BATCH_TOKENS, as even as they can be: the rows, all their ids, the places of first tokens."""
     for part in parts:
         sizes = part["ids"].map(len).to_numpy() // 4
         ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(part) else 0
+        even = -(-total // max(1, total // BATCH_TOKENS))
         lo = 0
         while lo < len(part):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH_TOKENS, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + even, side="right")))
             own = part.iloc[lo:hi]
             yield own, np.frombuffer(b"".join(own["ids"]), np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[lo:hi])[:-1]]).astype(np.int64)
             lo = hi
