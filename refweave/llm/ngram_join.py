@@ -25,8 +25,8 @@ sets are one node, named by a 64-bit hash of the set, so copies are never paired
    the components are those of all links.
 
 Verification sends each set once to every node that it is compared with; a node with
-many partners is dealt to several tasks. Nodes of many documents and components of many nodes get their values by ``skew.lookup``. The pairs of
-step 6 are a join by token of two shuffled sides, which adaptive execution splits where a token has very many nodes.
+many partners is dealt to several tasks. Nodes of many documents and components of many nodes get their values by ``skew.lookup``. In step 6 a token of many
+nodes is dealt to slots of about ``PAIRED`` nodes, each of which meets all nodes of the token, so no task has all its pairs.
 Links and components are never gathered on the driver.
 (Nodes of 64 bits: ten thousand million different texts have about three accidental equals.)
 
@@ -61,6 +61,7 @@ SALT = 64
 MOST = 4
 VERIFY_COST = 20.0
 PARTNERS = 250
+PAIRED = 1000
 #: A fixed filter of ids, and how many it tells apart; more are joined by a shuffle.
 FILTER_BITS = 1 << 25
 FILTER_IDS = FILTER_BITS // 8
@@ -293,11 +294,18 @@ def _needed(x: str, y: str) -> Column:
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b, need), once a shared token: pairs of nodes with different labels that share a token and pass all filters, and the matches that they need."""
-    x, y = rows.alias("x"), rows.alias("y")
+    counted = rows.groupBy("token").agg(F.count("*").alias("nodes"))
+    sizes = counted.agg(F.max("nodes").alias("most"), F.sum("nodes").alias("all")).first()
+    if (sizes["most"] or 0) > PAIRED:
+        slotted = lookup(rows, counted.withColumn("slots", F.ceil(F.col("nodes") / PAIRED).cast("int")), "token", "nodes", sizes["all"])
+        x = slotted.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")).alias("x")
+        y = slotted.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).alias("y")
+    else:
+        x, y = rows.withColumn("slot", F.lit(0)).alias("x"), rows.withColumn("slot", F.lit(0)).alias("y")
     # The matches before a token, and those from it on, are no more than either prefix has shared ones.
     need = _needed("x.", "y.")
     at_most = F.least("x.before", "y.before") + F.least(F.col("x.held") - F.col("x.before"), F.col("y.held") - F.col("y.before"))
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     pairs = x.join(y, apart & _may_link("x.", "y.") & (at_most >= need) & _near_bitmaps("x.", "y.", F.col("x.n") + F.col("y.n")))
     return pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), need.alias("need"))
 

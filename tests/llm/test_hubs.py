@@ -54,7 +54,7 @@ def test_many_ids_pass_without_a_filter(spark, monkeypatch):
     assert sorted(map(tuple, join.components(docs).collect())) == want
 
 
-def test_pairs_that_need_several_matches(spark):
+def test_pairs_that_need_several_matches(spark, monkeypatch):
     """Prefixes of 2, 3 and 4 matches, against all pairs."""
     from test_ngram_join import _brute as brute
 
@@ -73,8 +73,10 @@ def test_pairs_that_need_several_matches(spark):
         for background in (0.0, 5.0):
             used.add(join.prefix(tokens, np.full(len(tokens), 30), background)[1])
     assert max(used) > 1
-    got = sorted(map(tuple, join.components(docs).select("doc_id", "n_shingles", "component_id").collect()))
-    assert got == brute(rows)
+    for paired in (join.PAIRED, 2):  # with tokens in one slot, and in several
+        monkeypatch.setattr(join, "PAIRED", paired)
+        got = sorted(map(tuple, join.components(docs).select("doc_id", "n_shingles", "component_id").collect()))
+        assert got == brute(rows)
 
 
 def test_archives_are_read_by_as_many_tasks_as_files(spark):
