@@ -24,7 +24,7 @@ from refweave.functions.lineage import cut
 
 REPULSION, GRAVITY, TOLERANCE = 2.0, 1.0, 1.0
 GRID = 16
-IN_MEMORY = 2_000_000
+IN_MEMORY = 1_000_000
 
 
 def _box(low: float, high: float) -> tuple[float, float]:
