@@ -14,8 +14,8 @@ unless the item has less than five words: that is found only in a document that
 The first scan makes words and signature and probes the sketches; its rows are a document's key, a size and a number, and carry no
 text. The distinct candidates are checkpointed, and each is verified once, in a second scan, by a length filter and the exact containment of the shingles as text.
 Both joins broadcast their small side, the sketches and the candidates, where counting shows at most ``BROADCAST_ROWS`` rows. Larger
-benchmarks are joined by hash value, which is uniform but for shingles that all share. With more candidates, the texts are first filtered by a bitmap of ``BITMAP_ROWS`` x 4 KB
-of the candidates' keys, whatever their number; what passes is joined by a shuffle.
+benchmarks are joined by hash value, which is uniform but for shingles that all share. With more candidates, a bitmap of their keys, of 16 bits each and ``BITMAP_ROWS`` x 4 KB at
+most, tells which texts may be among them, and only those are shuffled; so it is with the documents that ``decontaminate`` drops.
 
 Cases: null and empty texts and items have no shingles and match nothing; equal items and
 null ids match each by themselves; ties don't matter, as all pairs are returned; very long texts are whole; several rows of one document id count as one document, with its
@@ -33,7 +33,7 @@ from refweave.llm.common import LETTER_WORD, ascii_lower, cut, let, table, words
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 200_000
-BITMAP_ROWS = 8192
+BITMAP_ROWS = 65536
 
 
 def _per_shingle(w: Column, body) -> Column:
@@ -83,15 +83,17 @@ def _n_shingles(w: Column) -> Column:
     return F.greatest(F.lit(1), F.size(w) - (SHINGLE - 1))
 
 
-def _likely(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows whose ``which`` is among those of ``found``, and some others: a bit for each, in a broadcast table of fixed size."""
-    bits = BITMAP_ROWS * 32768
-    slot = F.pmod(F.col("which"), F.lit(bits))
-    marks = found.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    at = F.bitmap_bit_position("slot")
-    octet = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumn("slot", slot).join(F.broadcast(marks), F.bitmap_bucket_number("slot") == F.col("bucket"))
-    return marked.filter(octet.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(slot) % 8 AS INT))")) > 0).select(*rows.columns)
+def _marked(rows: DataFrame, hashed: str, likely: str, found: DataFrame) -> DataFrame:
+    """``rows`` with ``likely``: true if their number ``hashed`` is among those of ``found`` (hash), and for some others."""
+    wanted = max(1, 16 * found.count() // 32768)
+    buckets = min(BITMAP_ROWS, 1 << (wanted - 1).bit_length())
+    slot, at, bits = fresh(rows, "slot"), fresh(rows, "bucket_of"), fresh(rows, "bits")
+    marks = found.select(F.pmod("hash", F.lit(buckets * 32768)).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(at)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bits))
+    place = F.bitmap_bit_position(F.col(slot))
+    octet = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), place % 8).cast("int")
+    joined = rows.withColumn(slot, F.pmod(F.col(hashed), F.lit(buckets * 32768))).join(F.broadcast(marks), F.bitmap_bucket_number(F.col(slot)) == F.col(at), "left")
+    return joined.select(*rows.columns, F.coalesce(octet.bitwiseAND(bit) > 0, F.lit(False)).alias(likely))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -113,7 +115,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     else:
-        texts = _likely(texts, found)
+        texts = _marked(texts, "which", "likely", found.select(F.col("which").alias("hash"))).filter("likely").drop("likely")
     whole = sketched.select(F.col("item_id").alias("id_of"), F.col("item").alias("of_item"), "shingles", "n", "need")
     pairs = texts.join(found, "which").join(whole, F.col("item_id").eqNullSafe(F.col("id_of")) & (F.col("item") == F.col("of_item")))
     pairs = pairs.select("row", "item_id", "n", "need", "shingles", words(ascii_lower(F.col("text_of")), LETTER_WORD).alias("w"))
@@ -128,10 +130,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
     The documents found, a struct of two numbers each, go to the texts if counting shows at most ``broadcast_rows`` of them.
     """
-    which = fresh(docs, "which")
-    bad = cut(contained_items(docs.select(F.struct("doc_id", F.xxhash64("text")).alias(which), "text"), items, threshold, keys=(which,)).select(F.col(which).alias("_" + which)).distinct())
-    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
-    return docs.join(bad, F.struct("doc_id", F.xxhash64("text")).eqNullSafe(F.col("_" + which)), "left_anti")
+    which, of, likely = fresh(docs, "which"), fresh(docs, "bad"), fresh(docs, "likely")
+    key = F.struct("doc_id", F.xxhash64("text"))
+    bad = cut(contained_items(docs.select(key.alias(which), "text"), items, threshold, keys=(which,), broadcast_rows=broadcast_rows).select(F.col(which).alias(of)).distinct())
+    if bad.count() <= broadcast_rows:
+        return docs.join(F.broadcast(bad), key.eqNullSafe(F.col(of)), "left_anti")
+    marked = _marked(docs.withColumn(which, F.xxhash64(key)), which, likely, bad.select(F.xxhash64(of).alias("hash"))).drop(which)
+    kept = marked.filter(F.col(likely)).join(bad, key.eqNullSafe(F.col(of)), "left_anti")
+    return marked.filter(~F.col(likely)).union(kept).drop(likely)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

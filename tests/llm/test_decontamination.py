@@ -55,7 +55,7 @@ def test_pairs_equal_all_pairs(spark, rows):
 @pytest.mark.parametrize("rows", [D.BROADCAST_ROWS, 0])
 def test_documents_without_items_stay(spark, rows):
     docs, items = _corpus()
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"which": F.lit(1), "_which": F.lit(2), "item_id": F.lit(3)})
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(k) for k, c in enumerate(("which", "_which", "item_id", "likely", "bad", "bits", "slot", "bucket_of", "hash", "row"))})
     i = spark.createDataFrame(items, "item_id long, text string")
     kept = D.decontaminate(d, i, broadcast_rows=rows)
     assert kept.columns == d.columns
