@@ -208,7 +208,8 @@ def _packed(keys: np.ndarray, counts: np.ndarray, start: int) -> tuple[bytes, by
     """Sorted keys from ``start`` on, and counts."""
     steps = np.diff(keys, prepend=_U(start)).astype(_U)
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)  # byte planes: the upper ones are zeros
-    return zlib.compress(planes.tobytes(), 1), zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+    kind = np.uint32 if not len(counts) or int(counts.max()) < 1 << 32 else _U
+    return zlib.compress(planes.tobytes(), 1), zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[int, bytes, bytes]]:
@@ -221,7 +222,8 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tupl
 def _unblob(keys: bytes, counts: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(zlib.decompress(keys), np.uint8)
     steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(_U).ravel()
-    return np.cumsum(steps, dtype=_U) + _U(start), np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
+    plain = zlib.decompress(counts)
+    return np.cumsum(steps, dtype=_U) + _U(start), np.frombuffer(plain, np.uint32 if len(plain) == 4 * len(steps) else _U).astype(np.int64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

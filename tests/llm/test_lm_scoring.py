@@ -104,3 +104,10 @@ def test_query_columns_against_counting(spark, tmp_path):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(t), sum(w in counts for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         assert r["score"] < 0
+
+
+def test_packed_runs_keep_large_counts():
+    keys = np.array([5, 9, 2**63], np.uint64)
+    for counts in ([1, 2, 3], [1, 2**32, 2**40], [2**32 - 1, 1, 1]):
+        back = lm_scoring._unblob(*lm_scoring._packed(keys, np.array(counts), 4), 4)
+        assert (back[0] == keys).all() and back[1].tolist() == counts
