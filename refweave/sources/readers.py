@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -30,14 +31,16 @@ def _without_long_rows(reader: DataFrameReader, path: str | list[str], schema: T
     return rows.filter(F.col(raw).isNull() | (cells(text) <= len(schema))).drop(raw)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, keep_empty: bool = False) -> DataFrame:
     """Comma-separated text with a header, doubled quotes and line breaks in cells; all columns strings unless a schema is given.
 
-    Rows with more cells than the header are left out, shorter ones end in nulls.
+    Rows with more cells than the header are left out, shorter ones end in nulls. Empty cells are nulls; with ``keep_empty`` those in quotes are empty texts, as ``write_csv`` writes them.
     """
+    # Spark takes for null what equals this text, an empty one by default; a cell without text or quotes is null in either case.
+    null = uuid.uuid4().hex if keep_empty else ""
 
     def reader() -> DataFrameReader:
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", null)
 
     names = reader().csv(path).columns
     shape = T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(n, T.StringType()) for n in names])

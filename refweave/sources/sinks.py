@@ -35,6 +35,12 @@ def replace_parquet(df: DataFrame, path: str) -> dict:
     return file_metadata(spark, path) | {"columns": df.columns}
 
 
+def write_csv(df: DataFrame, path: str) -> dict:
+    """Comma-separated text with a header and doubled quotes, blanks around texts kept: nulls are cells without quotes, empty texts are quoted."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue='""').csv(path)
+    return file_metadata(df.sparkSession, path) | {"columns": df.columns}
+
+
 def write_lines(df: DataFrame, path: str, column: str = "value", order: list[str] | None = None) -> dict:
     """One line (or record of several) for each row, in the order of ``order`` over the part files."""
     out = df.orderBy(*order) if order else df
